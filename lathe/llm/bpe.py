@@ -165,6 +165,19 @@ def decode(ids: Column, tokenizer: str | None = None) -> Column:
     return texts(ids)
 
 
+def roundtrip(text: Column, tokenizer: str | None = None) -> Column:
+    """struct<ids, decoded>: what `encode` gives and what `decode` makes of it, in one pass (Spark
+    would encode twice if a query asks for both ids and the text decoded from them)."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def both(texts: pa.Array) -> pa.Array:
+        e = encoder(tokenizer)
+        ids = [e.encode(t.as_py() or "") for t in texts]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(e.decode, ids), pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def count_ids(ids: Column) -> Column:
     return F.floor(F.octet_length(ids) / 4).cast("long")
 
@@ -172,8 +185,7 @@ def count_ids(ids: Column) -> Column:
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes all documents; one row each with its number of ids and two digests."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", encode(F.col("text")).alias("ids"))
-    both = coded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
+    both = docs.select("doc_id", roundtrip(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return both.select(
         "doc_id",
         count_ids(F.col("ids")).alias("n_tokens"),
