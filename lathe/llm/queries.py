@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import bpe, neardup, packing
+from lathe.llm import bpe, fingerprints, neardup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+        "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
         "op5_simhash_neardup": neardup.op5_simhash_neardup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
