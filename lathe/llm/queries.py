@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import bpe, fingerprints, neardup, packing
+from lathe.llm import bpe, fingerprints, neardup, packing, quality_crf, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
         "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_simhash_neardup": neardup.op5_simhash_neardup,
+        "op7_quality_classifier": quality_crf.op7_quality_classifier,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
