@@ -137,11 +137,12 @@ def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFram
     return queries.select("fp").distinct().join(near, "fp", "left").select("fp", F.coalesce("n_near", zero).alias("n_near"), F.coalesce("n_near_rows", zero).alias("n_near_rows"))
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carry: list[str], derive: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
     """docs with `next_<c>` for each c of `carry`: its value in the next row by descending id (after
     the last row: the first). Rows go to buckets of neighbouring ids, and each bucket also gets the
-    first row of the next one, so that no task sees more than its bucket."""
-    spark = docs.sparkSession
+    first row of the next one, so that no task sees more than its bucket. derive: columns to add from
+    docs' own, with their next ones, each worked out once a row."""
+    spark, derive = docs.sparkSession, derive or {}
     n = buckets or max(1, common.partitions(spark))
     bounds = sorted(set(docs.select(F.col(id_col).cast("double").alias("i")).approxQuantile("i", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     tie = F.xxhash64(*carry)
@@ -149,14 +150,17 @@ def with_next(docs: DataFrame, id_col: str, carry: list[str], buckets: int | Non
     top = F.max(F.struct(F.col(id_col).isNotNull().alias("there"), F.col(id_col).alias("id"), F.col("_tie").alias("tie")))
     heads = sorted((r["_bucket"], r["top"]["id"], r["top"]["tie"]) for r in keyed.groupBy("_bucket").agg(top.alias("top")).collect())
     if not heads:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
+        docs = docs.withColumns(derive)
+        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in [*carry, *derive]))
     before = {b: heads[k - 1][0] for k, (b, _, _) in enumerate(heads)}
     marks = spark.createDataFrame([(b, i, t, before[b]) for b, i, t in heads], f"_b long, _i {docs.schema[id_col].dataType.simpleString()}, _t long, _goes long")
     head = keyed.join(F.broadcast(marks), (F.col("_bucket") == F.col("_b")) & F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")))
     head = head.dropDuplicates(["_bucket"]).withColumn("_bucket", F.col("_goes")).drop("_b", "_i", "_t", "_goes").withColumn("_guest", F.lit(True))
     rows = keyed.withColumn("_guest", F.lit(False)).unionByName(head)
+    for name, column in derive.items():
+        rows = rows.withColumn(name, column)
     order = Window.partitionBy("_bucket").orderBy(F.col("_guest"), F.col(id_col).desc_nulls_last(), F.col("_tie").desc())
-    out = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
+    out = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in [*carry, *derive]))
     return out.where(~F.col("_guest")).drop("_bucket", "_tie", "_guest")
 
 
@@ -176,8 +180,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and for ids divisible by 50 how many
     other fingerprints of the table are within 3 bits (n_near; null for the rest)."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fp", fingerprint(F.col("text")))
-    both = with_next(docs.select("doc_id", "text", F.lower(F.hex("fp")).alias("fp")), "doc_id", ["text", "fp"])
+    both = with_next(docs, "doc_id", ["text"], {"fp": F.lower(F.hex(fingerprint(F.col("text"))))})
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
