@@ -76,3 +76,23 @@ def running_offsets(counts: DataFrame, keys: list[str], part: str, count: str, o
 
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(count).over(before), F.lit(0)))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """df with a column `out`: the place (from 0) of each row among those with equal keys, by `order`.
+
+    Rows are sorted over range partitions of (keys, order), so a key with very many rows lies in many
+    of them. A place is the row's place in its partition plus how many rows of its key lower
+    partitions have; only these counts (a row for each key and partition) are summed up by key."""
+    spark = df.sparkSession
+    tie = F.monotonically_increasing_id()  # spreads equal rows, too
+    named = df.withColumn("_tie", tie).withColumns({f"_o{k}": c for k, c in enumerate(order)})
+    by = [F.col(c) for c in (*keys, *(f"_o{k}" for k in range(len(order))), "_tie")]
+    rows = named.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by).select(*df.columns, F.monotonically_increasing_id().alias("_at"))
+    rows = durable(rows, "sorted").withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    runs = running_offsets(runs, keys, "_part", "_n", "_before").withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_part": "_p"})
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & rows[k].eqNullSafe(runs[f"_k_{k}"])
+    return rows.join(runs, same).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first")).select(*df.columns, out)

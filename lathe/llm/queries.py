@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import bpe, fingerprints, neardup, packing, quality_crf, quality_rules, secrets, toxicity
+from lathe.llm import bpe, chat, fingerprints, licenses, neardup, packing, quality_crf, quality_rules, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,16 +14,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
         "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_simhash_neardup": neardup.op5_simhash_neardup,
         "op7_quality_classifier": quality_crf.op7_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_secret_scan": secrets.op8_secret_scan,
+        "op9_chat_format": chat.op9_chat_format,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_scan": licenses.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op8_secret_scan": secrets.ORACLE_SQL,
+        "op9_chat_format": chat.ORACLE_SQL,
     }
