@@ -143,7 +143,7 @@ def with_next(docs: DataFrame, id_col: str, carry: list[str], derive: dict[str,
     first row of the next one, so that no task sees more than its bucket. derive: columns to add from
     docs' own, with their next ones, each worked out once a row."""
     spark, derive = docs.sparkSession, derive or {}
-    n = buckets or max(1, common.partitions(spark))
+    n = buckets or 4 * max(1, common.partitions(spark))  # several to a partition even out
     bounds = sorted(set(docs.select(F.col(id_col).cast("double").alias("i")).approxQuantile("i", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     tie = F.xxhash64(*carry)
     keyed = docs.withColumn("_bucket", -_position(F.col(id_col).cast("double"), bounds)).withColumn("_tie", tie)
