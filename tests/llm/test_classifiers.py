@@ -74,6 +74,16 @@ def test_log_ratios_are_probabilities_of_both_classes(spark):
             assert math.isclose(model.llr[s], math.log(plain(s, 1) / plain(s, 0)), abs_tol=1e-9)
 
 
+def test_pruned_models_say_nearly_the_same(spark):
+    docs, labels = toxic_corpus(200)
+    rows = labelled.with_labels(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "toxic")
+    whole = toxicity.log_ratios([tuple(r) for r in toxicity.states(toxicity.word_counts(rows, "text")).collect()], 2.0)
+    small = toxicity.pruned(whole, 0.05)
+    assert len(small.llr) < len(whole.llr)
+    words = {w for _, t in docs for w in (t or "").lower().split()} | {"never", "seen", "blorgx"}
+    assert all(abs(whole.of_word(w) - small.of_word(w)) <= 0.05 * (toxicity.DEPTH + 1) for w in words)
+
+
 def test_toxicity_without_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", 3.0)], "doc_id long, text string, n0 double")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
