@@ -70,12 +70,12 @@ def test_search_finds_all_within_the_radius(spark):
 def test_repeated_rows_nulls_and_empty_tables(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").fillna("", ["text"])
-    got = fp.with_next(docs, "doc_id", ["text"], buckets=3).collect()
-    assert sorted(r.text for r in got) == sorted(r.next_text for r in got) == ["", "a", "a", "b", "c"]
-    assert [r.next_text for r in got if r.doc_id is None] == [""]
-    assert fp.with_next(docs.limit(0), "doc_id", ["text"], buckets=3).count() == 0
-    one = fp.with_next(docs.where("doc_id = 5"), "doc_id", ["text"], buckets=3).collect()
-    assert [r.next_text for r in one] == [""]
+    follow = lambda df: fp.with_next(df, "doc_id", "text", {"t": F.col("text")}, buckets=3)
+    got = follow(docs).collect()
+    assert sorted(r.t for r in got) == sorted(r.next_t for r in got) == ["", "a", "a", "b", "c"]
+    assert [r.next_t for r in got if r.doc_id is None] == [""]
+    assert follow(docs.limit(0)).count() == 0
+    assert [r.next_t for r in follow(docs.where("doc_id = 5")).collect()] == [""]
 
 
 def test_weights_and_empty_text():
