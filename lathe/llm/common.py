@@ -33,14 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """df written as a Parquet table to the shared folder and read back.
+def durable(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """df written as a Parquet table to the shared folder and read back. files: for tables of a known,
+    small size, how many files to gather it in first (else each task writes one).
 
     This cuts the lineage: later stages read files that outlive any executor, and what made them
     is computed once. The table goes when the driver's session ends (or with `release`)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

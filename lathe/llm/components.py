@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import durable
+from lathe.llm.common import durable, partitions
+
+#: Edges that one file of a round's table holds, about.
+EDGES_A_FILE = 2_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while (mark := _mark(now)) != seen and mark[0]:
-        seen = mark
+        seen, files = mark, min(partitions(edges.sparkSession), mark[0] // EDGES_A_FILE + 1)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = durable(lower.select("a", F.col("m").alias("b")).unionByName(rest.where("a > b")).distinct(), "edges")
+        now = durable(lower.select("a", F.col("m").alias("b")).unionByName(rest.where("a > b")).distinct(), "edges", files)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, 2 * max_fit / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = with_labels(docs.select(id_col, text_col), drawn, id_col, label).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(2)))
-    sample = common.durable(rows, "labelled-sample")
+    sample = common.durable(rows, "labelled-sample", files=8)
     found = sample.where("_part = 0").select(_flat_features(F.col(text_col)).alias("x"), "label_").toArrow()
     lines = [np.array(x, float).reshape(-1, N_LINE) for x in found.column("x").to_pylist()]
     weights, pairs = train_field([(with_neighbours(x), y) for x, y in zip(lines, found.column("label_").to_pylist())])
