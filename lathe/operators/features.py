@@ -169,6 +169,12 @@ class FeatureModel:
         return assembled.select(*(quoted(c) for c in keep), *([F.col("_label").alias(LABEL)] if has_target else []), FEATURES)
 
 
+def _spread(std: float, mean: float, n: int) -> float:
+    """A standard deviation, or 0 if it is no more than rounding makes of equal values."""
+    eps = 2.220446049250313e-16
+    return 0.0 if std**2 <= n * eps * std**2 + (n * mean * eps) ** 2 else std
+
+
 def fit_features(train: DataFrame, target: str, columns: list[str]) -> FeatureModel:
     c = classify(train, columns)
     n = train.count()
@@ -181,14 +187,14 @@ def fit_features(train: DataFrame, target: str, columns: list[str]) -> FeatureMo
     if numeric:
         row = train.agg(*(f(v).alias(f"{name}{k}") for k, v in enumerate(filled.values()) for name, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         for k, x in enumerate(numeric):
-            means[x], stds[x] = row[f"m{k}"], row[f"s{k}"]
+            means[x], stds[x] = row[f"m{k}"], _spread(row[f"s{k}"], row[f"m{k}"], n)
     for x, shares in frequency.items():
         known = train.agg(F.count(quoted(x)).alias("n")).first()["n"]
-        # each value's share occurs share * known times; unknown values count as 0
-        s = shares.agg(F.sum(F.col("share") ** 2).alias("a"), F.sum(F.col("share") ** 3).alias("b")).first()
-        mean = (s["a"] or 0.0) * known / n if n else 0.0
-        square = (s["b"] or 0.0) * known / n if n else 0.0
-        medians[x], means[x], stds[x] = 0.0, mean, max(square - mean * mean, 0.0) ** 0.5
+        # a value occurs share * known times; unknown values count as 0
+        mean = (shares.agg(F.sum(F.col("share") ** 2).alias("m")).first()["m"] or 0.0) * known / n if n else 0.0
+        around = shares.agg(F.sum(F.col("share") * (F.col("share") - mean) ** 2).alias("v")).first()["v"] or 0.0
+        std = ((around * known + (n - known) * mean**2) / n) ** 0.5 if n else 0.0
+        medians[x], means[x], stds[x] = 0.0, mean, _spread(std, mean, n)
     low = c.low_cardinality
     top = {k: None if v is None else str(v) for k, v in modes(train, low).items()}
     values: dict[str, list[str]] = {}

@@ -43,7 +43,7 @@ def read_csv(spark: SparkSession, path: str | None) -> DataFrame | None:
     values can be read as, or stays string. Dates stay strings."""
     if not path:
         return None
-    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False)
     names = [f"Unnamed: {k}" if c == f"_c{k}" else c for k, c in enumerate(raw.columns)]
     return infer_types(raw.toDF(*names))
 
