@@ -576,9 +576,9 @@ def _histogram_sql(source: str, x: str) -> str:
     return f"h AS (SELECT {x} AS v FROM {source}), e AS (SELECT min(v) AS lo, max(v) AS hi FROM h) SELECT least(floor((v - lo) / ((hi - lo) / 40)), 39)::BIGINT AS bin, round(lo + least(floor((v - lo) / ((hi - lo) / 40)), 39) * ((hi - lo) / 40), 3) AS low, count(*) AS n FROM h, e GROUP BY ALL"
 
 
-@query("chart_residual_histogram", f"{_PRED}, {_histogram_sql('pred', 'label - prediction')}".replace("FROM pred), e", "FROM pred WHERE model = 'mean' AND split = 'test'), e"))
+@query("chart_residual_histogram", f"{_PRED}, {_histogram_sql('pred', 'label - prediction')}".replace("FROM pred), e", "FROM pred WHERE model = 'tilted' AND split = 'test'), e"))
 def _(spark, d):
-    return rounded(charts.residual_histogram(_test_predictions(spark, d).where("model = 'mean'")).drop("high"), 3, "low")
+    return rounded(charts.residual_histogram(_test_predictions(spark, d).where("model = 'tilted'")).drop("high"), 3, "low")
 
 
 @query("chart_target_histogram", f"WITH {_histogram_sql('events', 'value')}")
