@@ -53,7 +53,8 @@ def test_links_connect_what_all_pairs_connect(spark, seed, per_slice, per_bucket
     found = neardup.links(df, per_bucket=per_bucket, per_slice=per_slice)
     pairs = [(r.a, r.b) for r in found.collect()]
     distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    direct = {frozenset(p) for p in pairs}  # a link's ends are in one group, perhaps through others
+    assert all(1 <= distance(a, b) <= 3 for a, b in pairs)
+    direct = {frozenset(p) for p in pairs}
     assert plain_groups(signed, lambda a, b: frozenset((a, b)) in direct) == plain_groups(signed, lambda a, b: distance(a, b) <= 3)
 
 
@@ -102,3 +103,50 @@ def test_deduplicate_keeps_one_row_and_all_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
     assert neardup.deduplicate(docs.where("doc_id <> 3 and doc_id <> 2")).count() == 2
     assert neardup.deduplicate(docs.limit(0)).count() == 0
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def edited_copies(seed=3):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    texts = []
+    for base in range(25):
+        words = [word() for _ in range(rnd.choice([40, 120, 250]))]
+        texts.append(" ".join(words))
+        for _ in range(rnd.randrange(0, 9)):
+            copy = list(words)
+            for _ in range(max(1, len(words) * rnd.randrange(1, 6) // 200)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    return [(i, t) for i, t in enumerate(texts)] + [(990, "a b c"), (991, "A b\nc"), (992, None), (993, "")]
+
+
+def test_similar_groups_against_all_pairs(spark):
+    rows = edited_copies()
+    sets, fps = {i: shingles(t) for i, t in rows}, {i: plain_simhash(t or "") for i, t in rows}
+
+    def similar(a, b):
+        x, y = sets[a], sets[b]
+        return (fps[a] ^ fps[b]).bit_count() <= 3 or (bool(x | y) and len(x & y) / len(x | y) >= 0.8)
+
+    want = plain_groups([i for i, _ in rows], similar)
+    got = {r.id: r.component_id for r in neardup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(want[got[i]] == want[i] for i in got)  # no group holds texts that aren't linked
+    assert np.mean([got[i] == want[i] for i in got]) > 0.95
+    assert sum(v != k for k, v in want.items()) > 40
+
+
+def test_sketch_similarity():
+    rnd = random.Random(2)
+    for n in (50, 2000):
+        words = [str(rnd.randrange(10**6)) for _ in range(n)]
+        other = words[: n // 10 * 9] + [str(rnd.randrange(10**6)) for _ in range(n // 10)]
+        a, b = (" ".join(w) for w in (words, other))
+        x, y = shingles(a), shingles(b)
+        sketch = [s.as_py() for s in neardup._signatures([a, b], 5)[2]]
+        assert abs(neardup.jaccard(*sketch) - len(x & y) / len(x | y)) <= (0.0 if n == 50 else 0.08)
+    assert neardup.jaccard(b"", b"") == 0.0
