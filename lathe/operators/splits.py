@@ -89,11 +89,12 @@ def group_plan(sizes: dict[int, int], folds: int) -> dict[int, tuple[list[int],
     return out
 
 
-def group_kfold(df: DataFrame, group: str, folds: int = 5, salts: int = 64) -> DataFrame:
+def group_kfold(df: DataFrame, group: str, folds: int = 5, salts: int | None = None) -> DataFrame:
     """df with `fold`, none of which shares a group with another. Groups of one size are alike to the
     plan, which therefore needs only how many groups there are of each size; groups take its places by
     their rank within the size, counted in salted parts."""
     g = F.col(f"`{group}`")
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = df.groupBy(g.alias("_group")).agg(F.count("*").alias("_size")).withColumn("_salt", F.pmod(F.xxhash64("_group"), F.lit(salts)))
     parts = groups.groupBy("_size", "_salt").agg(F.count("*").alias("_n"))
     plan = group_plan({r["_size"]: r["n"] for r in parts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()}, folds)
