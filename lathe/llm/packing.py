@@ -116,10 +116,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY, salts: int = 256) -> DataFrame:
-    """pieces with sequence_id and offset. keys: columns that spread the pieces over salts.
+def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+    """pieces with sequence_id and offset. keys: columns that spread the pieces over salts (by default as
+    many as shuffle partitions, at least 256).
     pieces is read three times, so hand in a written table (see `common.durable`)."""
     spark = pieces.sparkSession
+    salts = salts or max(256, common.partitions(spark))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
     counts = salted.groupBy(F.col(length).alias("_length"), "_salt").count()
     histogram = {r["_length"]: r["n"] for r in counts.groupBy("_length").agg(F.sum("count").alias("n")).collect()}

@@ -74,3 +74,19 @@ def test_run_gives_the_rows_of_the_stages(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 40
+
+
+def test_stages_on_empty_and_null_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label_ int, fp string, norm string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], [(None,) * 8, (1, None, None, None, None, 1, "a", None), (2, "", "en", "s", 0, None, None, "b"), (2, "", "en", "s", 0, None, None, "b"), (3, "x " * 40_000, None, "s", 80_000, 0, None, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            assert out.count() <= len(rows)
+            if "near-dedup" in name and rows:
+                assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+            if "secret" in name:
+                assert out.count() == len(rows)
+        assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= len(rows)
