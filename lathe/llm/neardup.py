@@ -34,7 +34,6 @@ a row; extra columns are ignored by `near_duplicates` and kept by `deduplicate`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +50,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 5
 SKETCH = 256
+#: Ids of dropped documents, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Fingerprints that one bucket's task holds at most, about (8 bytes each).
 PER_BUCKET = 4_000_000
 #: Variants that one bucket's task matches at a time, about.
@@ -123,22 +124,24 @@ def _odd(x: np.ndarray) -> np.ndarray:
 
 
 def _emit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Fingerprints to (bucket, packed fingerprints with variants in that bucket)."""
+    """(table, fingerprint) to (table, bucket, packed fingerprints with variants in that bucket)."""
     low = np.uint64((1 << bits) - 1)
     steps = {odd: np.unique(_hash(masks) & low) for odd, masks in ((False, _EVEN), (True, _ODD))}
     for batch in batches:
-        all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for odd, deltas in steps.items():
-            fps = all_fps[_odd(all_fps) == odd]
-            home = _hash(fps) & low
-            order = np.argsort(home, kind="stable")
-            fps, home = fps[order], home[order]
-            starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
-            for a, b in zip(starts, [*starts[1:], len(home)]):
-                packed, buckets = fps[a:b].tobytes(), home[a] ^ deltas
-                for at in range(0, len(buckets), 512):
-                    part = buckets[at : at + 512].astype(np.int64)
-                    yield pa.record_batch([pa.array(part), pa.array([packed] * len(part), pa.binary())], ["bucket", "fps"])
+        tables, values = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for t in np.unique(tables).tolist():
+            own = values[tables == t].view(np.uint64)
+            for odd, deltas in steps.items():
+                fps = own[_odd(own) == odd]
+                home = _hash(fps) & low
+                order = np.argsort(home, kind="stable")
+                fps, home = fps[order], home[order]
+                starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
+                for a, b in zip(starts, [*starts[1:], len(home)]):
+                    packed, buckets = fps[a:b].tobytes(), home[a] ^ deltas
+                    for at in range(0, len(buckets), 512):
+                        part = buckets[at : at + 512].astype(np.int64)
+                        yield pa.record_batch([pa.array([t] * len(part), pa.int32()), pa.array(part), pa.array([packed] * len(part), pa.binary())], ["t", "bucket", "fps"])
 
 
 def _links(table: pa.Table, bits: int, radius: int, per_slice: int) -> pa.Table:
@@ -168,7 +171,7 @@ def _links(table: pa.Table, bits: int, radius: int, per_slice: int) -> pa.Table:
             found.append(_checked(ef[hit], ends[at], radius))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
     pairs = _forest(pairs).view(np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return pa.table({"t": pa.array([table.column("t")[0].as_py()] * len(pairs), pa.int32()), "a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def _variants(fps: np.ndarray, key: np.ndarray, masks: np.ndarray, steps: np.ndarray, place: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -226,22 +229,24 @@ def _bucket_bits(spark: SparkSession) -> int:
 
 
 def links(fps: DataFrame, radius: int = RADIUS, per_bucket: int = PER_BUCKET, per_slice: int = PER_SLICE) -> DataFrame:
-    """fps: one column of distinct signed 64-bit fingerprints, read twice. Returns links a, b among
-    those at most `radius` bits apart, which connect the same groups as all such pairs do."""
+    """fps: t (int) and f, the distinct signed 64-bit fingerprints of each table t; read twice. Returns
+    t, a, b: links among the fingerprints of a table at most `radius` bits apart, which connect the same
+    groups as all such pairs do."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the balls emitted here reach {RADIUS} bits")
-    n, bits = fps.count(), _bucket_bits(fps.sparkSession)
-    while bits < _MAX_HASH_BITS and n * min(len(_EVEN), 1 << bits) >> bits > per_bucket:
+    most = fps.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    bits = _bucket_bits(fps.sparkSession)
+    while bits < _MAX_HASH_BITS and most * min(len(_EVEN), 1 << bits) >> bits > per_bucket:
         bits += 1
-    sent = fps.mapInArrow(lambda it: _emit(it, bits), "bucket long, fps binary")
-    return sent.groupBy("bucket").applyInArrow(lambda t: _links(t, bits, radius, per_slice), "a long, b long").distinct()
+    sent = fps.select("t", "f").mapInArrow(lambda it: _emit(it, bits), "t int, bucket long, fps binary")
+    return sent.groupBy("t", "bucket").applyInArrow(lambda g: _links(g, bits, radius, per_slice), "t int, a long, b long").distinct()
 
 
 def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps: id and fp, for all documents. Returns fp, component_id for each distinct fp: the least id
     among the documents whose fingerprints are linked with it, directly or through others."""
     nodes = common.durable(fps.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(nodes.select(F.lit(0).alias("t"), F.col("fp").alias("f")), radius).select("a", "b"))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return labelled.join(least, "label").select("fp", "component_id")
@@ -310,16 +315,17 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
 
 
-def _node_links(nodes: DataFrame, column: str, radius: int) -> DataFrame:
-    """Links a, b between nodes (norm) whose fingerprints in `column` are equal or within the radius, as
-    few as keep groups together: equal ones to the least, and the least ones among each other."""
-    known = nodes.where(F.col(column).isNotNull())
-    heads = common.durable(known.groupBy(F.col(column).alias("f")).agg(F.min("norm").alias("head")), "heads")
-    near = links(heads.select("f"), radius)
-    same = known.join(heads, known[column] == heads["f"]).where("norm <> head").select(F.col("norm").alias("a"), F.col("head").alias("b"))
-    one, two = (heads.select(F.col("f").alias(f"f{k}"), F.col("head").alias(f"h{k}")) for k in (1, 2))
-    across = near.join(one, near["a"] == F.col("f1")).join(two, near["b"] == F.col("f2")).select(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    return same.unionByName(across)
+def _node_links(prints: DataFrame, radius: int) -> DataFrame:
+    """prints: t, f and norm, the fingerprints of each text by table. Returns t, a, b: links between texts
+    whose fingerprints in t are equal or within the radius, as few as keep groups together: equal ones
+    to the least text, and the least ones among each other."""
+    heads = common.durable(prints.groupBy("t", "f").agg(F.min("norm").alias("head")), "heads")
+    near = links(heads, radius)
+    own = heads.withColumnsRenamed({"t": "_t", "f": "_f"})
+    same = prints.join(own, (F.col("t") == F.col("_t")) & (F.col("f") == F.col("_f"))).where("norm <> head").select("t", F.col("norm").alias("a"), F.col("head").alias("b"))
+    one, two = (heads.select(F.col("t").alias(f"t{k}"), F.col("f").alias(f"f{k}"), F.col("head").alias(f"h{k}")) for k in (1, 2))
+    across = near.join(one, (F.col("t") == F.col("t1")) & (F.col("a") == F.col("f1"))).join(two, (F.col("t") == F.col("t2")) & (F.col("b") == F.col("f2")))
+    return same.unionByName(across.select("t", F.col("h1").alias("a"), F.col("h2").alias("b")))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -327,11 +333,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the radius, or five-word shingles of at least this similarity."""
     base = docs.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).select("id", "s.*")
     base = common.durable(base, "signatures")
-    words = [f"w{k}" for k in range(TABLES)]
-    nodes = base.groupBy("norm").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), *(F.min(w).alias(w) for w in words))
+    tables = ["fp", *(f"w{k}" for k in range(TABLES))]
+    nodes = base.groupBy("norm").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in tables))
     nodes = common.durable(nodes, "texts")
-    met = [_node_links(nodes, w, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for w in words]
-    pairs = common.durable(reduce(DataFrame.unionByName, met).distinct(), "candidates")
+    prints = nodes.select("norm", F.posexplode(F.array(*tables)).alias("t", "f")).where("f is not null")
+    met = common.durable(_node_links(prints, radius).select("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    pairs = common.durable(met.where("t > 0").select("a", "b").distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).distinct().join(nodes.select("norm", "least"), "norm")
     wanted = wanted.select(F.col("norm").alias("_n"), F.col("least").alias("_l"))
     sketches = base.select("id", "norm", "sketch").join(wanted, (F.col("norm") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_l"))).select("norm", "sketch").dropDuplicates(["norm"])
@@ -339,7 +346,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one, two = (sketches.select(F.col("norm").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in (1, 2))
     both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     verified = both.where(_jaccard("s1", "s2") >= similarity).select("a", "b")
-    roots = components(_node_links(nodes, "fp", radius).unionByName(verified))
+    roots = components(met.where("t = 0").select("a", "b").unionByName(verified))
     labelled = nodes.select("norm", "least").join(roots, F.col("norm") == F.col("node"), "left").select("norm", "least", F.coalesce("root", "norm").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return base.select("id", "norm").join(labelled.join(least, "label").select("norm", "component_id"), "norm").select("id", "component_id")
@@ -349,12 +356,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without all but one document of each group of `similar_groups`: the one with the least id stays
     (of rows that repeat that id, one). Rows with a null id stay where no other member has an id: one of them."""
     found = similar_groups(docs, id_col, text_col, radius, similarity)
-    kept = found.where("id <=> component_id").groupBy("id").agg(F.count("*").alias("_rows"))
-    kept = common.durable(kept.withColumnRenamed("id", "_kept_id"), "kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]))
-    repeated = kept.where("_rows > 1").limit(1).count()
-    out = out.dropDuplicates([id_col]) if repeated else out
-    return out.select(*(docs[c] if not repeated else F.col(c) for c in docs.columns))
+    stays = F.max(F.expr("id <=> component_id").cast("int")) == 1
+    verdicts = common.durable(found.groupBy("id").agg(F.count("*").alias("rows"), stays.alias("stays")), "verdicts")
+    gone = verdicts.where("not stays").select(F.col("id").alias("_gone"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = verdicts.where("stays and rows > 1").limit(1).count()
+    return out.dropDuplicates([id_col]) if repeated else out
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,10 @@ def near_fingerprints(seed, n=400):
 def test_links_connect_what_all_pairs_connect(spark, seed, per_slice, per_bucket):
     fps = near_fingerprints(seed)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
-    found = neardup.links(df, per_bucket=per_bucket, per_slice=per_slice)
-    pairs = [(r.a, r.b) for r in found.collect()]
+    df = spark.createDataFrame([(t, x) for x in signed for t in (0, 3)], "t int, f long").repartition(3)
+    found = neardup.links(df, per_bucket=per_bucket, per_slice=per_slice).collect()
+    pairs = [(r.a, r.b) for r in found if r.t == 0]
+    assert sorted(pairs) == sorted((r.a, r.b) for r in found if r.t == 3)
     distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     assert all(1 <= distance(a, b) <= 3 for a, b in pairs)
     direct = {frozenset(p) for p in pairs}
