@@ -43,10 +43,10 @@ class _WordHash(dict):
         return value
 
 
-_HASH = _WordHash()
+WORD_HASH = _WordHash()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -57,15 +57,15 @@ def weighted_simhash(text: str, shingle: int = SHINGLE) -> bytes:
     words = text.encode("utf-8").lower().split()
     if not words:
         return bytes(BITS // 8)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
     if len(h) <= shingle:
         terms = np.zeros(1, np.uint64)
         for x in h:
-            terms = _mixed(terms * np.uint64(3) + x)
+            terms = mixed(terms * np.uint64(3) + x)
     else:
         terms = np.zeros(len(h) - shingle + 1, np.uint64)
         for k in range(shingle):
-            terms = _mixed(terms * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
+            terms = mixed(terms * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
     terms, times = np.unique(terms, return_counts=True)
     votes = np.zeros(BITS)
     for at in range(0, len(terms), 1 << 14):
@@ -78,7 +78,7 @@ def weighted_simhash(text: str, shingle: int = SHINGLE) -> bytes:
 
 
 def _bits(terms: np.ndarray) -> np.ndarray:
-    both = np.stack([terms, _mixed(terms + np.uint64(0x9E3779B97F4A7C15))], axis=1)
+    both = np.stack([terms, mixed(terms + np.uint64(0x9E3779B97F4A7C15))], axis=1)
     return np.unpackbits(both.view(np.uint8), axis=1)
 
 

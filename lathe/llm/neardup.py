@@ -275,7 +275,7 @@ def signature(text: Column, shingle: int = SHINGLE) -> Column:
 def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
     import xxhash
 
-    from lathe.llm.fingerprints import _HASH, _mixed
+    from lathe.llm.fingerprints import WORD_HASH, mixed
 
     norms, fps, sketches, tables = [], [], [], [[] for _ in range(TABLES)]
     for text in texts:
@@ -287,14 +287,14 @@ def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
             for t in tables:
                 t.append(None)
             continue
-        h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
         grams = np.zeros(len(h) - shingle + 1, np.uint64)
         for k in range(shingle):
-            grams = _mixed(grams * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
+            grams = mixed(grams * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
         sketches.append(np.unique((grams >> np.uint64(32)).astype("<u4"))[: SKETCH + 1].tobytes())
         distinct = np.unique(h)
         for k, t in enumerate(tables):
-            votes = np.unpackbits(_mixed(distinct + np.uint64((k + 1) * 0x51ED2701)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            votes = np.unpackbits(mixed(distinct + np.uint64((k + 1) * 0x51ED2701)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             t.append(int(np.packbits(2 * votes > len(distinct)).view("<i8")[0]))
     return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), *(pa.array(t, pa.int64()) for t in tables)]
 
