@@ -21,10 +21,12 @@ that close a circle are left out. Links become groups in `components`. Equal fin
 node throughout, so copies never make pairs.
 
 Three of 64 bits are a strict radius. `deduplicate` therefore also finds texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more: the same ball hashing runs over TABLES more
-fingerprints, of the distinct words, which an edit changes less than it changes shingles, and the pairs
-that meet are verified on the shingles themselves (on a sketch of the SKETCH least hashes for texts that
-have more). A pair of similarity 0.8 meets in some table nine times of ten, one of 0.9 nearly always.
+shingles have a Jaccard similarity of 0.8 or more, verified on the shingles themselves (on a sketch of the
+SKETCH least hashes for texts that have more). Texts meet where the MinHashes of one of BANDS bands agree:
+pairs of similarity 0.8 do in 99.8 of a hundred cases. No pair that meets is left out before it is verified,
+unless verified links connect it already: each meeting is first checked against its least text; where that
+leaves a meeting in several groups, every text outside the largest is checked against all others, in blocks
+of bounded size, and only then links that close a circle are left out.
 
 Edge cases: null text is the empty text; texts without words have fingerprint zero and link like any
 other; rows with a null id get their group's id (null if no member has one); repeated rows each give
@@ -48,8 +50,11 @@ from lathe.llm.components import components
 RADIUS = 3
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 5
+BANDS, BAND_ROWS = 16, 5
 SKETCH = 256
+#: Texts of either side that one block of a meeting compares (about 1 kB each), and rows that one task gets, about.
+BLOCK = 1000
+TASK_ROWS = 20_000
 #: Ids of dropped documents, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Fingerprints that one bucket's task holds at most, about (8 bytes each).
@@ -258,16 +263,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(grouped(fps, radius), "fp").select("id", "fp", "component_id")
 
 
-_SIGNATURE = "norm binary, fp long, sketch binary, " + ", ".join(f"w{k} long" for k in range(TABLES))
+_SIGNATURE = "norm binary, fp long, sketch binary, bands array<long>"
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(text: Column, shingle: int = SHINGLE) -> Column:
     """norm: a 128-bit hash of the text's words; fp: its SimHash; sketch: the least SKETCH of its shingles'
-    32-bit hashes, packed; w0, w1, ...: SimHashes of its distinct words (null under `shingle` words)."""
+    32-bit hashes, packed; bands: hashes of BAND_ROWS MinHashes of its shingles each (null under `shingle` words)."""
 
     @F.arrow_udf(_SIGNATURE)
     def of(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(_signatures([t.as_py() or "" for t in texts], shingle), ["norm", "fp", "sketch", *(f"w{k}" for k in range(TABLES))])
+        return pa.StructArray.from_arrays(_signatures([t.as_py() or "" for t in texts], shingle), ["norm", "fp", "sketch", "bands"])
 
     return of(text)
 
@@ -277,26 +283,35 @@ def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
 
     from lathe.llm.fingerprints import WORD_HASH, mixed
 
-    norms, fps, sketches, tables = [], [], [], [[] for _ in range(TABLES)]
+    norms, fps, sketches, bands = [], [], [], []
     for text in texts:
         words = text.encode("utf-8").lower().split()
         norms.append(xxhash.xxh3_128_digest(b" ".join(words)))
         fps.append(simhash(text))
         if len(words) < shingle:
             sketches.append(b"")
-            for t in tables:
-                t.append(None)
+            bands.append(None)
             continue
         h = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
         grams = np.zeros(len(h) - shingle + 1, np.uint64)
         for k in range(shingle):
             grams = mixed(grams * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
         sketches.append(np.unique((grams >> np.uint64(32)).astype("<u4"))[: SKETCH + 1].tobytes())
-        distinct = np.unique(h)
-        for k, t in enumerate(tables):
-            votes = np.unpackbits(mixed(distinct + np.uint64((k + 1) * 0x51ED2701)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            t.append(int(np.packbits(2 * votes > len(distinct)).view("<i8")[0]))
-    return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), *(pa.array(t, pa.int64()) for t in tables)]
+        bands.append(_bands(np.unique(grams)))
+    return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+
+
+def _bands(grams: np.ndarray) -> np.ndarray:
+    """The bands' keys; a MinHash is the least product of a shingle's hash with one of the odd factors."""
+    from lathe.llm.fingerprints import mixed
+
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 1 << 12):
+        least = np.minimum(least, (_FACTORS[:, None] * grams[None, at : at + (1 << 12)]).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = mixed(keys * np.uint64(3) + least[k::BAND_ROWS])
+    return keys.view(np.int64)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -315,38 +330,105 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([jaccard(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
 
 
-def _node_links(prints: DataFrame, radius: int) -> DataFrame:
-    """prints: t, f and norm, the fingerprints of each text by table. Returns t, a, b: links between texts
-    whose fingerprints in t are equal or within the radius, as few as keep groups together: equal ones
-    to the least text, and the least ones among each other."""
-    heads = common.durable(prints.groupBy("t", "f").agg(F.min("norm").alias("head")), "heads")
-    near = links(heads, radius)
-    own = heads.withColumnsRenamed({"t": "_t", "f": "_f"})
-    same = prints.join(own, (F.col("t") == F.col("_t")) & (F.col("f") == F.col("_f"))).where("norm <> head").select("t", F.col("norm").alias("a"), F.col("head").alias("b"))
-    one, two = (heads.select(F.col("t").alias(f"t{k}"), F.col("f").alias(f"f{k}"), F.col("head").alias(f"h{k}")) for k in (1, 2))
-    across = near.join(one, (F.col("t") == F.col("t1")) & (F.col("a") == F.col("f1"))).join(two, (F.col("t") == F.col("t2")) & (F.col("b") == F.col("f2")))
-    return same.unionByName(across.select("t", F.col("h1").alias("a"), F.col("h2").alias("b")))
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def _same_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes: norm and fp of each text. Returns a, b: links between texts whose fingerprints are equal or
+    within the radius, as few as keep groups together: equal ones to the least text, and the least ones
+    among each other. (To meet is to be linked here, so nothing is left to verify.)"""
+    heads = common.durable(nodes.groupBy("fp").agg(F.min("norm").alias("head")), "heads")
+    near = links(heads.select(F.lit(0).alias("t"), F.col("fp").alias("f")), radius).select("a", "b")
+    same = nodes.join(heads, "fp").where("norm <> head").select(F.col("norm").alias("a"), F.col("head").alias("b"))
+    one, two = (heads.select(F.col("fp").alias(f"f{k}"), F.col("head").alias(f"h{k}")) for k in (1, 2))
+    across = near.join(one, F.col("a") == F.col("f1")).join(two, F.col("b") == F.col("f2"))
+    return same.unionByName(across.select(F.col("h1").alias("a"), F.col("h2").alias("b")))
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """g, norm, n, head: the texts of each meeting of n texts, two or more, whose keys of a band agree, and
+    the least of them. Meetings of the same texts in several bands count once."""
+    keys = nodes.where("bands is not null").select("norm", F.explode("bands").alias("g"))
+    groups = keys.groupBy("g").agg(F.count("*").alias("n"), F.min("norm").alias("head"), F.expr("bit_xor(xxhash64(norm))").alias("texts")).where("n > 1")
+    groups = common.durable(groups.groupBy("n", "head", "texts").agg(F.min("g").alias("g")).select("g", "n", "head"), "meetings")
+    return common.durable(keys.join(groups, "g"), "met")
+
+
+def _compared(met: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float, block: int, task_rows: int) -> DataFrame:
+    """a, b: verified links between texts of one meeting that have different labels (norm, label), as many
+    as connect what all such links connect. Those outside a meeting's most frequent label are compared
+    with all of it, a block of the one with a block of the other at a time."""
+    rows = common.durable(met.where("n > 2").select("g", "norm", "n").join(labels, "norm"), "labelled")
+    parts = rows.groupBy("g", "label").agg(F.count("*").alias("c"))
+    groups = parts.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("all"))
+    groups = groups.where("labels > 1").select("g", F.col("most.label").alias("main"), F.ceil(F.col("all") / block).alias("wide"), F.ceil((F.col("all") - F.col("most.c")) / block).alias("tall"))
+    open_ = rows.join(groups, "g").select("g", "norm", "label", "main", "wide", "tall")
+    spot = lambda n: F.pmod(F.xxhash64("norm"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = open_.withColumn("x", spot("wide")).withColumn("y", upto("tall")).withColumn("odd", F.lit(False))
+    others = open_.where("label <> main").withColumn("y", spot("tall")).withColumn("x", upto("wide")).withColumn("odd", F.lit(True))
+    sent = common.durable(every.unionByName(others).select("g", "x", "y", "odd", "norm", "label"), "blocks")
+    tasks = max(common.partitions(met.sparkSession), sent.count() // task_rows + 1)
+    sent = sent.join(sketches.withColumnRenamed("norm", "_n"), F.col("norm") == F.col("_n")).drop("_n")
+    sent = sent.withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(tasks)))
+    return sent.groupBy("task").applyInArrow(lambda t: _block_links(t, similarity), "a binary, b binary")
+
+
+def _block_links(table: pa.Table, similarity: float) -> pa.Table:
+    """The verified links of the blocks of one task."""
+    table = table.sort_by([("g", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    g, x, y, odd = (table.column(c).to_numpy(zero_copy_only=False) for c in ("g", "x", "y", "odd"))
+    norms, labels, packed = (table.column(c).to_pylist() for c in ("norm", "label", "sketch"))
+    cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+    parent: dict[bytes, bytes] = {}
+    found: list[tuple[bytes, bytes]] = []
+
+    def root(v: bytes) -> bytes:
+        while (up := parent.get(v, v)) != v:
+            parent[v] = parent.get(up, up)
+            v = up
+        return v
+
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)]):
+        all_, few = ([k for k in range(start, end) if odd[k] == side] for side in (False, True))
+        if not all_ or not few:
+            continue
+        sets = [np.frombuffer(packed[k], "<u4") for k in all_]
+        size = np.array([len(v) for v in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for k in few:
+            own = np.frombuffer(packed[k], "<u4")
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            span = high - low
+            at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+            common_ = np.bincount(owner[at], minlength=len(sets))
+            # a similarity needs that share of the union in common, and the union has at least the larger set
+            for j in np.flatnonzero(common_ >= similarity * np.minimum(SKETCH, np.maximum(size, len(own))) - 1e-9).tolist():
+                p, q = root(labels[k]), root(labels[all_[j]])
+                if p != q and jaccard(packed[k], packed[all_[j]]) >= similarity:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((norms[k], norms[all_[j]]))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
     """A row for each document: id and component_id, the least id of its group. Links: fingerprints within
     the radius, or five-word shingles of at least this similarity."""
     base = docs.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).select("id", "s.*")
     base = common.durable(base, "signatures")
-    tables = ["fp", *(f"w{k}" for k in range(TABLES))]
-    nodes = base.groupBy("norm").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in tables))
-    nodes = common.durable(nodes, "texts")
-    prints = nodes.select("norm", F.posexplode(F.array(*tables)).alias("t", "f")).where("f is not null")
-    met = common.durable(_node_links(prints, radius).select("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    pairs = common.durable(met.where("t > 0").select("a", "b").distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("norm")).unionByName(pairs.select(F.col("b").alias("norm"))).distinct().join(nodes.select("norm", "least"), "norm")
+    nodes = common.durable(base.groupBy("norm").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    met = _met(nodes)
+    wanted = met.select("norm").distinct().join(nodes.select("norm", "least"), "norm")
     wanted = wanted.select(F.col("norm").alias("_n"), F.col("least").alias("_l"))
     sketches = base.select("id", "norm", "sketch").join(wanted, (F.col("norm") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_l"))).select("norm", "sketch").dropDuplicates(["norm"])
     sketches = common.durable(sketches, "sketches")
+    pairs = common.durable(met.where("norm <> head").select(F.col("norm").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
     one, two = (sketches.select(F.col("norm").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in (1, 2))
     both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     verified = both.where(_jaccard("s1", "s2") >= similarity).select("a", "b")
-    roots = components(met.where("t = 0").select("a", "b").unionByName(verified))
+    first = components(_same_prints(nodes.select("norm", "fp"), radius).unionByName(verified))
+    labels = wanted.select(F.col("_n").alias("norm")).join(first, F.col("norm") == F.col("node"), "left").select("norm", F.coalesce("root", "norm").alias("label"))
+    more = _compared(met, labels, sketches, similarity, block, task_rows)
+    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     labelled = nodes.select("norm", "least").join(roots, F.col("norm") == F.col("node"), "left").select("norm", "least", F.coalesce("root", "norm").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return base.select("id", "norm").join(labelled.join(least, "label").select("norm", "component_id"), "norm").select("id", "component_id")
