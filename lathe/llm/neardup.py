@@ -278,15 +278,29 @@ def signature(text: Column, shingle: int = SHINGLE) -> Column:
     return of(text)
 
 
-def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
+def text_norm(text: Column) -> Column:
+    """`norm` of `signature` alone."""
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([_norm((t.as_py() or "").encode("utf-8").lower().split()) for t in texts], pa.binary())
+
+    return of(text)
+
+
+def _norm(words: list[bytes]) -> bytes:
     import xxhash
 
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
     from lathe.llm.fingerprints import WORD_HASH, mixed
 
     norms, fps, sketches, bands = [], [], [], []
     for text in texts:
         words = text.encode("utf-8").lower().split()
-        norms.append(xxhash.xxh3_128_digest(b" ".join(words)))
+        norms.append(_norm(words))
         fps.append(simhash(text))
         if len(words) < shingle:
             sketches.append(b"")
@@ -411,8 +425,8 @@ def _block_links(table: pa.Table, similarity: float) -> pa.Table:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
-    """A row for each document: id and component_id, the least id of its group. Links: fingerprints within
-    the radius, or five-word shingles of at least this similarity."""
+    """A row for each document: id, norm (a hash of its words), label (the group's) and component_id, the least
+    id of its group. Links: fingerprints within the radius, or five-word shingles of at least this similarity."""
     base = docs.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).select("id", "s.*")
     base = common.durable(base, "signatures")
     nodes = common.durable(base.groupBy("norm").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
@@ -431,21 +445,36 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     labelled = nodes.select("norm", "least").join(roots, F.col("norm") == F.col("node"), "left").select("norm", "least", F.coalesce("root", "norm").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return base.select("id", "norm").join(labelled.join(least, "label").select("norm", "component_id"), "norm").select("id", "component_id")
+    return base.select("id", "norm").join(labelled.join(least, "label").select("norm", "label", "component_id"), "norm").select("id", "norm", "label", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one document of each group of `similar_groups`: the one with the least id stays
-    (of rows that repeat that id, one). Rows with a null id stay where no other member has an id: one of them."""
-    found = similar_groups(docs, id_col, text_col, radius, similarity)
-    stays = F.max(F.expr("id <=> component_id").cast("int")) == 1
-    verdicts = common.durable(found.groupBy("id").agg(F.count("*").alias("rows"), stays.alias("stays")), "verdicts")
-    gone = verdicts.where("not stays").select(F.col("id").alias("_gone"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = verdicts.where("stays and rows > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    """docs without all but one document of each group of `similar_groups`: the one with the least id (ids
+    before none), then the least hash of its words; of rows that repeat both, one stays. Rows are told apart by
+    id and words, so rows that share an id, or have none, go only with their own group."""
+    found = similar_groups(docs, id_col, text_col, radius, similarity).select("id", "norm", "label").groupBy("id", "norm", "label").agg(F.count("*").alias("rows"))
+    found = common.durable(found, "found")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "norm")
+    best = found.groupBy("label").agg(F.min(who).alias("best"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("norm") == F.col("best.norm"))
+    verdicts = common.durable(found.join(best, "label").select("id", "norm", "rows", stays.alias("stays")), "verdicts")
+    ids = common.durable(verdicts.groupBy("id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("stays")), "ids")
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    gone = ids.where("not stays").select(F.col("id").alias("_gone"))
+    shared = ids.where("stays and rows > 1").select(F.col("id").alias("_shared"))
+    out = docs.join(sized(gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    if not shared.limit(1).count():
+        return out
+    # ids of several rows of which some stay: these rows are looked up by their words, too
+    shared = sized(shared)
+    by_id = docs[id_col].eqNullSafe(F.col("_shared"))
+    kept = verdicts.where("stays").select(F.col("id").alias("_id"), F.col("norm").alias("_kept"))
+    several = docs.join(shared, by_id, "left_semi").withColumn("_norm", text_norm(F.col(text_col)))
+    several = several.join(kept, (F.col("_norm") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return out.join(shared, by_id, "left_anti").unionByName(several.dropDuplicates([id_col, "_norm"]).drop("_norm"))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,18 @@ def test_deduplicate_keeps_one_row_and_all_columns(spark):
     assert neardup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(k)) for k in range(8)] + [(None, text(0)), (None, text(20)), (1, text(20))]  # 8 texts without an id, one of them twice, and a copy of 1
+    rows += [(2, text(20)), (2, text(21)), (3, text(22)), (3, text(23)), (3, text(23)), (4, text(24))]  # 2: a copy and a text of its own
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, norm long").repartition(4)
+    out = neardup.deduplicate(docs)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(None, text(k)) for k in range(8)] + [(1, text(20)), (2, text(21)), (3, text(22)), (3, text(23)), (4, text(24))]
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
