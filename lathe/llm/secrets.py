@@ -42,17 +42,26 @@ class Rule:
         return ("(?i)" if self.any_case else "") + self.pattern
 
 
+#: A private key's first or last line; its body has no run of five dashes, and at most 100 shorter ones.
+#: Without a last line, a key takes what follows of header lines and base64 (at most 200 lines of 16
+#: characters or more, and a shorter one that is padded). Line ends may be escaped, as in JSON.
+_KEY = r"-----{} [A-Z ]{{0,24}}PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:[\r\n\t\x20]|\\[rn])+"
+_HEADERS = f"(?:{_BREAK}[A-Za-z-]+:[^\\r\\n]*){{0,8}}"
+_LINE = f"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})"
+_LINES = _LINE + "{1,50}" + (_LINE + "{0,50}") * 3 + f"(?:{_BREAK}[A-Za-z0-9+/]*={{1,2}}[A-Za-z0-9+/]{{0,4}})?"  # SQL's engine has no repeats over 1,000
+
 #: The three base rules, then those that this operator adds. Runs of hexadecimal digits and access
 #: keys state their least length in the pattern: a run that is too short can't hide a longer one.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", _KEY.format("BEGIN") + r"(?:[^-]*(?:-{1,4}[^-]+){0,100}" + _KEY.format("END") + f"|{_HEADERS}{_LINES})?"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("git_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%-]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]+:[A-Za-z0-9._%-]{3,}@"),
 )
 BASE = ("assign", "access", "hex")
 _MAX_ALTERNATIVES = 64

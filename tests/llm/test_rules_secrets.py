@@ -71,6 +71,27 @@ def test_redact_replaces_all_spans_and_keeps_columns(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_redact_takes_whole_keys_and_long_logins(spark):
+    lines = ["MIIEpAIBAAKCAQEA7Vx+" + f"{k:02d}/" * 14 for k in range(30)] + ["c2VjcmV0ZW5k" + "YQ=="]
+    body, key = "\n".join(lines), "-----{} {}PRIVATE KEY{}-----"
+    begin, end = key.format("BEGIN", "RSA ", ""), key.format("END", "RSA ", "")
+    pgp = "\n".join([key.format("BEGIN", "PGP ", " BLOCK"), "Version: GnuPG v2", "", body, "=aB3d", key.format("END", "PGP ", " BLOCK")])
+    headed = "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00AA", "", body])
+    texts = {
+        f"see\n{begin}\n{body}\n{end}\nthat is it": "see\n[SECRET]\nthat is it",
+        f"a {pgp} b": "a [SECRET] b",
+        f"{headed}\n{end} z": "[SECRET] z",
+        f"{headed}\nthen prose - well-known words": "[SECRET]\nthen prose - well-known words",
+        f"cut off {begin}\r\n" + "\r\n".join(lines): "cut off [SECRET]",
+        '{"key": "' + "\\n".join([begin, *lines, end]) + '"}': '{"key": "[SECRET]"}',
+        f"{begin} only the line": "[SECRET] only the line",
+        f"{begin}\n{body}\n{end}\nmiddle\n{begin}\n{body}\n{end}": "[SECRET]\nmiddle\n[SECRET]",
+        "go to https://user" + "u" * 80 + ":" + "T0ken." * 40 + "@host/x": "go to [SECRET]host/x",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == dict(enumerate(texts.values()))
+
+
 def plain_measures(text):
     blank = re.compile(r"[\x20\x09-\x0D]+")
     words = [w for w in blank.split(text or "") if w]
