@@ -33,7 +33,8 @@ END_ID = 0
 
 @functools.lru_cache(maxsize=2)
 def _library(path: str | None):
-    """A function from text to packed ids, by a tokenizer library over the vocabulary of `path`."""
+    """A function from text to packed ids, by a tokenizer library over the vocabulary of `path`. Texts that
+    the library can't split (a run of some hundred thousand blanks) are encoded by `bpe`, with the same ids."""
     import tiktoken
 
     own = bpe.encoder(path)
@@ -41,7 +42,14 @@ def _library(path: str | None):
     special = own.special
     coder = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=own.ids, special_tokens=special)
     marks = set(special)
-    return lambda text: np.asarray(coder.encode(text, allowed_special=marks), dtype="<u4").tobytes()
+
+    def code(text: str) -> bytes:
+        try:
+            return np.asarray(coder.encode(text, allowed_special=marks), dtype="<u4").tobytes()
+        except ValueError:  # its pattern engine gives up on very long runs of blanks
+            return own.encode(text)
+
+    return code
 
 
 def token_ids(text: Column, tokenizer: str | None = None) -> Column:

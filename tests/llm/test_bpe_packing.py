@@ -35,6 +35,14 @@ def test_same_ids_and_text_as_the_library(library):
         assert own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "a", "word "])
+def test_very_long_runs_in_both_encoders(library, run):
+    text = "x" + run * (1_000_000 // len(run)) + "y"
+    packed = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing._library(None)(text) == packed
+    assert bpe.Encoder(bpe.default_tokenizer()).encode(text) == packed
+
+
 def test_array_and_heap_merge_alike():
     own = bpe.Encoder(bpe.default_tokenizer())
     rnd = random.Random(2)
