@@ -1,23 +1,24 @@
 """Secret scans through a trigram inverted index (operator 8). DataFrame functions only.
 
 Each rule is a regular expression. From its syntax follow the trigrams that every match must contain,
-as a Boolean query: alternatives of sets of trigrams. Postings (trigram, document) are made for the
-trigrams that some rule asks for; postings of a document are intersected by counting, for each
-alternative, the trigrams that it has. Documents that satisfy a rule's query are its candidates and
-are verified by the expression itself. Rules without mandatory trigrams scan all texts. The index is
+as a Boolean query: alternatives of sets of trigrams. The index has, for the trigrams that some rule asks
+for, the postings (document, trigram). A document's postings are made, intersected with each alternative
+and verified by the expression itself in the document's own row: a text that is read once needs no shuffle.
+(`postings` gives the index as a table.) Rules without mandatory trigrams scan all texts. The index is
 folded to lower case, so it serves rules with and without case, and can only propose too much.
 
 Spans: matches are leftmost and do not overlap within a rule; those whose group is too short are
-dropped after matching. Positions count code points, the end is exclusive.
+dropped after matching. Positions count code points, the end is exclusive. Positions are running sums of
+lengths, by runs (`running`), so a text with very many spans takes little more than linear time.
 
-Edge cases: null text is the empty text; texts of any length are scanned whole; the index is by id, so
-rows that share an id (or have none) share candidates and are each verified on their own text;
-repeated rows each give a row; an empty table gives none; extra columns stay in `scan` and `redact`,
-but for names that begin with `_secret_`.
+Edge cases: null text is the empty text (and stays null when masked); texts of any length are scanned
+whole; each row is verified on its own text, whatever its id; repeated rows each give a row; an empty table
+gives none; extra columns stay in `scan` and `redact`, but for names that begin with `_secret_`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -65,6 +66,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 _MAX_ALTERNATIVES = 64
+#: Characters of the pieces into which texts that have spans are cut for masking.
+PIECE = 16_384
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -103,52 +106,76 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -> DataFrame:
-    """id, gram: for each document the trigrams (as their numbers in the list) that its text contains."""
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("low"))
-    has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(trigrams))))
-    return low.select("id", F.explode(has).alias("gram")).distinct()
+    """The index as a table: id, gram for each document and trigram (as its number in the list) that its text contains."""
+    return docs.select(F.col(id_col).alias("id"), F.explode(_entries(F.col(text_col), trigrams)).alias("gram")).distinct()
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """_secret_id, _secret_rules: for each id the kinds of the indexed rules whose query it satisfies."""
-    clauses = [(r.kind, k, g, len(grams)) for r in rules for k, grams in enumerate(trigram_query(r.pattern)) for g in sorted(grams)]
-    grams = sorted({c[2] for c in clauses})
-    spark = docs.sparkSession
-    asked = spark.createDataFrame([(kind, k, grams.index(g), n) for kind, k, g, n in clauses], "kind string, clause int, gram int, size int")
-    lists = postings(docs, id_col, text_col, grams)
-    met = lists.join(F.broadcast(asked), "gram").groupBy("id", "kind", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    return met.where("n = size").groupBy(F.col("id").alias("_secret_id")).agg(F.collect_set("kind").alias("_secret_rules"))
+def _entries(text: Column, trigrams: list[str]) -> Column:
+    """The postings of one document: the numbers of the trigrams that its text contains."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(trigrams))))
+
+
+def candidates(entries: Column, rule: Rule, trigrams: list[str]) -> Column:
+    """Whether a document's postings satisfy the rule's query: one alternative with all its trigrams.
+    Rules without mandatory trigrams take every document."""
+    clauses = trigram_query(rule.pattern)
+    has_all = lambda grams: F.size(F.array_intersect(entries, F.array(*(F.lit(trigrams.index(g)) for g in sorted(grams))))) == len(grams)
+    out = F.lit(not clauses)
+    for grams in clauses:
+        out = out | has_all(grams)
+    return out
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each place of an array of integers, what `combine` makes of all values before it. Values are
+    taken in about the square root of their number of runs, so that no long array is copied for each."""
+    none = F.array().cast("array<int>")
+    start = F.lit(zero)
+
+    def scan(run: Column, before: Column) -> Column:
+        first = F.struct(before.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(run, first, lambda acc, x: F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def by_runs(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(v), width), lambda at: F.slice(v, at, F.ceil(F.sqrt(F.size(v))).cast("int")))
+        return _let(runs, lambda r: F.flatten(F.zip_with(r, scan(F.transform(r, lambda x: F.aggregate(x, start, combine)), start), scan)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, by_runs(v)).otherwise(none))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _rule_spans(text: Column, matches: Column, place: int, rule: Rule) -> Column:
     """The spans of one rule: lengths of what is between the matches and of the matches add up to positions."""
     groups = F.regexp_extract_all(text, F.lit(rule.expression), F.lit(rule.group)) if rule.group else matches
-    between = F.split(text, rule.expression, -1)
-    sizes = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    parts = F.zip_with(sizes, groups, lambda p, g: F.struct(p["b"].alias("b"), p["m"].alias("m"), F.length(g).alias("g")))
-    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    sizes = F.transform(matches, F.length)
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["b"]
-        end = start + F.coalesce(p["m"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        long_enough = p["m"].isNotNull() & (p["g"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(long_enough, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def starts(between: Column) -> Column:
+        steps = F.zip_with(F.slice(between, 1, F.size(between) - 1), sizes, lambda b, m: b + m)
+        return F.zip_with(running(steps, lambda a, x: a + x, 0), F.slice(between, 1, F.size(between) - 1), lambda s, b: s + b)
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+    begin = _let(F.transform(F.split(text, rule.expression, -1), F.length), starts)
+    spans = F.zip_with(F.zip_with(begin, sizes, lambda s, m: F.struct(s.alias("s"), m.alias("m"))), F.transform(groups, F.length), lambda p, g: F.when(
+        g >= rule.least,
+        F.struct(p["s"].alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (p["s"] + p["m"]).alias("end")),
+    ))
+    none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")
+    return F.when(F.size(matches) > 0, F.array_compact(spans)).otherwise(none)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with _secret_spans: an array of (start, place, kind, end), by start, then by the rules' order."""
-    found = candidates(docs, id_col, text_col, rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(found, docs[id_col].eqNullSafe(F.col("_secret_id")), "left").drop("_secret_id")
-    for k, r in enumerate(rules):
-        tried = F.array_contains("_secret_rules", r.kind) if trigram_query(r.pattern) else F.lit(True)
-        rows = rows.withColumn(f"_secret_m{k}", F.when(tried, F.regexp_extract_all(text, F.lit(r.expression), F.lit(0))))
+    trigrams = sorted({g for r in rules for grams in trigram_query(r.pattern) for g in grams})
+    rows = docs.withColumn("_secret_grams", _entries(F.col(text_col), trigrams))
+    rows = rows.withColumns({f"_secret_m{k}": F.when(candidates(F.col("_secret_grams"), r, trigrams), F.regexp_extract_all(text, F.lit(r.expression), F.lit(0))) for k, r in enumerate(rules)})
     spans = [_rule_spans(text, F.col(f"_secret_m{k}"), k, r) for k, r in enumerate(rules)]
-    return rows.withColumn("_secret_spans", F.sort_array(F.concat(*spans))).drop("_secret_rules", *(f"_secret_m{k}" for k in range(len(rules))))
+    return rows.withColumn("_secret_spans", F.sort_array(F.concat(*spans))).drop("_secret_grams", *(f"_secret_m{k}" for k in range(len(rules))))
 
 
 def spans_text(spans: Column) -> Column:
@@ -160,25 +187,37 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span in text_col replaced by `mark`; overlapping and touching spans get one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows = scan(docs, text_col, rules)
+    # a span opens a new gap if it begins after all ends before it; what is kept lies between that end and its start
+    ends = running(F.transform("_secret_spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x), -1)
+    opens = F.filter(F.zip_with(F.transform("_secret_spans", lambda s: s["start"]), ends, lambda s, e: F.struct(e.alias("e"), s.alias("s"))), lambda x: x["s"] > x["e"])
+    cuts = F.when(F.size("_secret_spans") > 0, F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE))))
+    rows = rows.withColumns({"_secret_opens": F.when(F.size("_secret_spans") > 0, opens), "_secret_cuts": cuts})
+    last = F.array_max(F.transform("_secret_spans", lambda s: s["end"]))
+    kept = F.transform("_secret_opens", lambda x: F.concat(_between(F.greatest(x["e"], F.lit(0)), x["s"]), F.lit(mark)))
+    cleaned = F.concat(F.array_join(kept, ""), _between(last, F.length(text)))
+    return rows.withColumn(text_col, F.when(F.size("_secret_spans") > 0, cleaned).otherwise(F.col(text_col))).select(*docs.columns)
 
-    def add(acc: Column, s: Column) -> Column:
-        new = (s["start"] > acc["at"]) | (acc["out"] == "")
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, out).otherwise(acc["out"]).alias("out"))
 
-    cleaned = F.aggregate("_secret_spans", none, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = scan(docs, id_col, text_col, rules)
-    return rows.withColumn(text_col, F.when(F.size("_secret_spans") > 0, cleaned).otherwise(F.col(text_col))).select(*docs.columns)
+def _between(start: Column, end: Column) -> Column:
+    """The text from start to end, out of its pieces `_secret_cuts` (finding a place in a string takes as long
+    as the place is far from its beginning, so pieces are short)."""
+    cuts = F.col("_secret_cuts")
+    first, last = (F.floor(x / PIECE).cast("int") for x in (start, end))
+    piece = lambda k: F.get(cuts, k)
+    one = F.substring(piece(first), start - first * PIECE + 1, end - start)
+    inner = F.array_join(F.slice(cuts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    several = F.concat(F.substring(piece(first), start - first * PIECE + 1, F.lit(PIECE)), inner, F.substring(piece(last), F.lit(1), end - last * PIECE))
+    return F.when(first == last, one).otherwise(several)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs).select("doc_id", "_secret_spans")
+    found = scan(docs)
     base = F.filter("_secret_spans", lambda s: s["kind"].isin(*BASE))
     counted = [_count(F.col("_secret_spans"), k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counted, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("_secret_spans")).alias("spans"))

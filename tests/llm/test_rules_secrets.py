@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -55,11 +56,18 @@ def test_trigram_queries():
 def test_candidates_are_what_the_query_says(spark):
     rows = [(i, t) for i, t in enumerate(secret_texts())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r[0]: set(r[1]) for r in secrets.candidates(df, "doc_id", "text").collect()}
+    grams = sorted({g for r in secrets.RULES for way in secrets.trigram_query(r.pattern) for g in way})
+    entries = secrets._entries(F.col("text"), grams)
+    got = {r.doc_id: r.asDict() for r in df.select("doc_id", *(secrets.candidates(entries, r, grams).alias(r.kind) for r in secrets.RULES)).collect()}
+    lists = {}
+    for r in secrets.postings(df, "doc_id", "text", grams).collect():
+        lists.setdefault(r.id, set()).add(grams[r.gram])
     for i, t in rows:
         low = (t or "").lower()
-        want = {r.kind for r in secrets.RULES if any(all(g in low for g in way) for way in secrets.trigram_query(r.pattern))}
-        assert got.get(i, set()) == want
+        assert lists.get(i, set()) == {g for g in grams if g in low}
+        for r in secrets.RULES:
+            ways = secrets.trigram_query(r.pattern)
+            assert got[i][r.kind] == (not ways or any(all(g in low for g in way) for way in ways))
 
 
 def test_redact_replaces_all_spans_and_keeps_columns(spark):
@@ -71,6 +79,42 @@ def test_redact_replaces_all_spans_and_keeps_columns(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_very_many_spans_in_one_text(spark):
+    one = "token=abcdefghijkl é "
+    rows = [(1, one * 30_000), (2, one.strip())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(df).select("doc_id", F.size("_secret_spans").alias("n"), F.element_at("_secret_spans", -1).alias("last")).collect()}
+    assert got[1].n == 30_000 and (got[1].last.start, got[1].last.end) == (29_999 * len(one), 29_999 * len(one) + 18)
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[1] == "[SECRET] é " * 30_000 and out[2] == "[SECRET] é"
+    assert time.perf_counter() - began < 60
+
+
+def test_redact_over_pieces_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    rnd = random.Random(3)
+    parts = ["token=abcdefghijkl", "0123456789abcdef", "é", " plain ", "AKIAABCDEFGHIJKLMN", "x" * 40]
+    rows = [(i, "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(12)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r._secret_spans for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        text, out, at = dict(rows)[r.doc_id], "", -1
+        for s in spans[r.doc_id]:
+            if s.start > at:
+                out += text[max(at, 0) : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert r.text == out + text[max(at, 0) :]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17, 400])
+def test_running_sums_and_maxima(spark, n):
+    values = [random.Random(n).randrange(50) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    sums, most = df.select(secrets.running(F.col("v"), lambda a, x: a + x, 0), secrets.running(F.col("v"), lambda a, x: F.greatest(a, x), -1)).first()
+    assert sums == [sum(values[:k]) for k in range(n)] and most == [max(values[:k], default=-1) for k in range(n)]
+
+
 def test_redact_takes_whole_keys_and_long_logins(spark):
     lines = ["MIIEpAIBAAKCAQEA7Vx+" + f"{k:02d}/" * 14 for k in range(30)] + ["c2VjcmV0ZW5k" + "YQ=="]
     body, key = "\n".join(lines), "-----{} {}PRIVATE KEY{}-----"
