@@ -1,220 +1,347 @@
-"""Toxicity by class-conditional Kneser-Ney models (operator 3).
+"""Toxicity by class-conditional Kneser-Ney models of words (operator 3).
 
-Each class has a character model of its words: a word is the path of its characters from the word's
-start, up to DEPTH characters and an end mark. In state h (the characters so far) and class c,
+Each class has a model of words by three orders: the word itself, its stem (the first STEM characters) and,
+lowest, all words. Counts are Kneser-Ney's: a word counts once for each different word it follows, so a
+passage that is repeated within a text or over many copies is one piece of evidence. With D discounted,
 
-    p(x | h, c) = (max(n_c(hx) - D, 0) + m_c(h) * shared(x | h)) / n_c(h)
+    p(stem | class) = (max(n(stem) - D, 0) + freed(all) * shared(stem)) / n(all)
+    p(word | class, stem) = (max(n(word) - D, 0) + freed(stem) * shared(word | stem)) / n(stem)
 
-with n_c the counts of the class, m_c(h) the mass that discounting frees, and shared(x | h) the share of
-the distinct words through h that go on with x, over both classes: Kneser-Ney's count of types, which
-rare expressions of either class fall back on. A state that one class never saw falls back whole.
-Paths of less than `support` words aren't states of their own; their mass is part of m_c(h).
+where n are the class's counts, freed(h) is what discounting takes from all that follows h in the class, and
+shared are shares of distinct words over both classes: the backoff counts that rare expressions of either
+class fall back on. A stem that one class never saw says nothing more; a word that neither saw is
+as likely as what its stem (or, failing that, all words) leaves over.
 
-A document's score compares the two log-likelihoods of its words, normalised for length: the mean
-difference a word, the means over its most telling words and the shares of words beyond some
-differences go into a logistic regression, fitted on labelled rows that the counts haven't seen.
+A toxic text is ordinary language with some toxic expressions in it. So its words are drawn from the toxic
+class with probability MIX and else as in ordinary texts, and a text's score compares the two log-likelihoods,
+normalised for length: the mean of log(1 - MIX + MIX * p(word | toxic) / p(word | ordinary)) over its words.
+A slope and an intercept, fitted on labelled rows that the counts haven't seen, turn it into a probability.
 
-Three quarters of all labelled rows are counted, in Spark, and the rest calibrates. What goes to the driver
-is at most `max_states` states (the support doubles until they fit), and features of at most
-`max_calibration` rows.
+The model is a table of words and stems that grows with the corpus; nothing is left out of it. Its most
+frequent entries (at most HEAD) are broadcast and answer most words; for the others, chunks of texts send each
+distinct word once to the bucket of the table that has it, and the answers meet the chunk again. So a word
+that a third of all texts have is one request a chunk, and no task holds more than a bucket or a chunk.
 
-Edge cases: null text is the empty text, whose score is that of a text without words; null labels and
-ids don't count; without labels of both classes all scores are alike; rows with equal ids each get a
-row; extra columns stay, but for the names `toxicity_score` and `toxicity_predicted`.
+Fitting takes three quarters of the labelled rows for counts, and of the rest at most `max_calibration` rows.
+Preceding words are told apart by 31-bit hashes, words and stems by 64-bit ones, texts by 128-bit ones.
+
+Edge cases: null text is the empty text, and a text without words has the mean 0; null labels and ids
+don't count; without labels of both classes all scores are alike; rows with equal ids each get a row, equal
+texts equal scores; extra columns stay, but for the names that begin with `toxicity_`.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import common
 from lathe.llm.labelled import fold, logistic, with_labels
 
-DEPTH = 10
-DISCOUNT = 2.0
-SUPPORT = 5
-MAX_STATES = 300_000
+STEM = 6
+DISCOUNT = 1.0
+MIX = 0.003
+#: Entries of the model that are broadcast (16 bytes each).
+HEAD = 1_000_000
 MAX_CALIBRATION = 20_000
-#: States that differ from what falling back says by no more than this log ratio are left out.
-PRUNE = 0.02
+#: Rejected texts, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
+BROADCAST_REJECTED = 1_000_000
+#: Characters of the texts that one chunk holds (a longer text is a chunk of its own), and that one bucket serves.
+CHUNK_CHARS = 4_000_000
+BUCKET_CHARS = 32_000_000
 _WORDS = re.compile(r"[^\W_]+")
-_FLUSH = 100_000
-END, MORE = "$", "+"
-
+_FLUSH = 200_000
+_KEYS_KEPT = 300_000
 
-def path_of(word: str) -> str:
-    """A word's path: its first DEPTH characters, then a mark for its end or for more to come."""
-    return word + END if len(word) <= DEPTH else word[:DEPTH] + MORE
 
+def words_of(text: str | None) -> list[str]:
+    return _WORDS.findall((text or "").lower())
 
-@dataclass
-class Model:
-    """llr and rest by state: the log ratio of the path up to it, and of falling back from it."""
 
-    llr: dict[str, float] = field(default_factory=lambda: {"": 0.0})
-    rest: dict[str, float] = field(default_factory=lambda: {"": 0.0})
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
-    intercept: float = 0.0
+class _Hashes(dict):
+    """A word's 64-bit hash, or its stem's, as Spark's xxhash64 gives them; starts anew when it holds many."""
 
-    def of_word(self, word: str) -> float:
-        path = path_of(word)
-        known = self.llr.get(path)
-        if known is not None:
-            return known
-        for k in range(len(path) - 1, 0, -1):
-            if (known := self.llr.get(path[:k])) is not None:
-                return known + self.rest.get(path[:k], 0.0)
-        return self.rest[""]
+    def __init__(self, name):
+        self.name = name
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-N_FEATURES = 10
+        if len(self) >= _KEYS_KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(self.name(word).encode("utf-8"), 42)
+        return value
 
 
-def features(values: np.ndarray) -> tuple[float, ...]:
-    """From the log ratios of a text's words; 0 for the empty text."""
-    if not len(values):
-        return (0.0,) * N_FEATURES
-    top = np.sort(values)[::-1][:3]
-    high, higher = (values > 2.5).sum(), (values > 4).sum()
-    n = len(values)
-    soft = math.log(np.exp(np.clip(values, -3, 8)).mean())
-    return (values.mean(), top[0], top.mean(), (values > 1.5).mean(), high / n, higher / n, math.log1p(high), math.log1p(higher), math.log(n), soft)
+_WORD_HASH = _Hashes(lambda w: w + ">")
+_STEM_HASH = _Hashes(lambda w: "<" + w[:STEM])
 
 
 def word_counts(labelled: DataFrame, text_col: str) -> DataFrame:
-    """word, n0, n1: how often each word occurs in the rows of either label (column label_)."""
+    """word, n0, n1: how many different words each word follows in the rows of either label (column label_)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
-            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], ["word", "n0", "n1"])
-            for c in seen:
-                c.clear()
+            words, before = zip(*seen) if seen else ((), ())
+            out = pa.record_batch([pa.array(words, pa.string()), pa.array(np.array(before, np.uint32).view(np.int32))], ["word", "before"])
+            seen.clear()
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[label].update(_WORDS.findall((text or "").lower()))
-                if len(seen[0]) + len(seen[1]) > _FLUSH:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = words_of(text.as_py())
+                if words:
+                    # the last bit is the label, the others are the preceding word's
+                    h = np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words)) >> np.uint64(32)
+                    before = (np.r_[np.uint64(0), h[:-1]] & np.uint64(0xFFFFFFFE)) | np.uint64(label)
+                    seen.update(zip(words, before.tolist()))
+                if len(seen) > _FLUSH:
                     yield flush()
         yield flush()
 
-    return labelled.select(text_col, "label_").mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def states(words: DataFrame) -> DataFrame:
-    """state, n0, n1, types: each path and its beginnings, with their counts and distinct words."""
-    path = F.when(F.length("word") <= DEPTH, F.concat("word", F.lit(END))).otherwise(F.concat(F.substring("word", 1, DEPTH), F.lit(MORE)))
-    paths = words.select(path.alias("path"), "n0", "n1")
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    return paths.select(F.explode(starts).alias("state"), "n0", "n1").groupBy("state").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("types"))
-
-
-def log_ratios(rows: list[tuple[str, int, int, int]], discount: float) -> Model:
-    """The two models, as the log ratio of each state. rows: state, n0, n1, types, with all states' beginnings."""
-    counts = {s: (n0, n1, t) for s, n0, n1, t in rows}
-    freed = {s: [float(n0), float(n1)] for s, (n0, n1, _) in counts.items()}
-    for s, n in counts.items():
-        if s:
-            for c in (0, 1):
-                freed[s[:-1]][c] -= max(n[c] - discount, 0)
-    model = Model()
-    for s in sorted(counts, key=len):
-        n0, n1, types = counts[s]
-        m0, m1 = freed[s]
-        model.rest[s] = math.log(m1 / n1 * n0 / m0) if n0 and n1 and m0 > 0 and m1 > 0 else 0.0
-        if not s:
-            continue
-        above = s[:-1]
-        a0, a1, a_types = counts[above]
-        step = 0.0
-        if a0 and a1:
-            shared = types / a_types
-            p0, p1 = ((max(n - discount, 0) + freed[above][c] * shared) / a for c, n, a in ((0, n0, a0), (1, n1, a1)))
-            step = math.log(p1 / p0) if p0 > 0 and p1 > 0 else 0.0
-        model.llr[s] = model.llr[above] + step
-    return model
-
+    found = labelled.select(text_col, "label_").mapInArrow(pairs, "word string, before int").distinct()
+    toxic = F.col("before").bitwiseAND(1)
+    return found.groupBy("word").agg(F.sum(1 - toxic).alias("n0"), F.sum(toxic).alias("n1"))
 
-def pruned(model: Model, tolerance: float = PRUNE) -> Model:
-    """The model without states that say within `tolerance` what falling back from the state above says."""
-    kept = {""}
-    for s in sorted(model.llr, key=len, reverse=True):
-        if s and s not in kept:
-            above = model.llr[s[:-1]] + model.rest[s[:-1]]
-            own = model.llr[s]
-            if abs(own - above) > tolerance or abs(own + model.rest[s] - above) > tolerance:
-                kept.update(s[:k] for k in range(1, len(s) + 1))
-    return Model({s: v for s, v in model.llr.items() if s in kept}, {s: v for s, v in model.rest.items() if s in kept and (v or not s)}, model.weights, model.intercept)
 
+def mixed(ratio: Column, mix: float = MIX) -> Column:
+    """The log ratio of a word under a toxic text's mixture and ordinary language, from that of the classes."""
+    return F.log1p(mix * F.expm1(F.least(ratio, F.lit(30.0))))
 
-def features_udf(model: Model):
-    """An Arrow UDF from texts to their features; the model reaches each executor once."""
-    spark = SparkSession.active()
-    shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        known = shared.value
-        memo: dict[str, float] = {}
-
-        def value(word: str) -> float:
-            v = memo.get(word)
-            if v is None:
-                if len(memo) > _FLUSH:
-                    memo.clear()
-                v = memo[word] = known.of_word(word)
-            return v
-
-        out = []
-        for t in texts:
-            words = _WORDS.findall((t.as_py() or "").lower())
-            out.append(features(np.fromiter(map(value, words), float, len(words))))
-        return pa.array(out, pa.list_(pa.float64()))
+@dataclass
+class Model:
+    """nodes: key, delta of each stem and word: what it adds to `base` and, for words, to its stem."""
 
-    return of
+    nodes: DataFrame
+    base: float = 0.0
+    head: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0))
+    slope: float = 0.0
+    intercept: float = 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", train=None, discount: float = DISCOUNT, support: int = SUPPORT, max_states: int = MAX_STATES, max_calibration: int = MAX_CALIBRATION) -> Model:
+def _ratio(toxic: Column, ordinary: Column) -> Column:
+    """log(toxic / ordinary); 0 where either is nothing."""
+    return F.when((toxic > 0) & (ordinary > 0), F.log(toxic / ordinary)).otherwise(F.lit(0.0))
+
+
+def nodes(words: DataFrame, discount: float = DISCOUNT, mix: float = MIX) -> tuple[DataFrame, float]:
+    """words: word, n0, n1 (read three times). Returns key, delta, n for each stem and word, and the value of unknown ones."""
+    least = lambda c: F.least(F.col(c).cast("double"), F.lit(discount))
+    over = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
+    stem = F.substring("word", 1, STEM)
+    stems = words.groupBy(stem.alias("stem")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("types"), F.sum(least("n0")).alias("f0"), F.sum(least("n1")).alias("f1"))
+    stems = common.durable(stems, "stems")
+    top = stems.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("types").alias("types"), F.sum(least("n0")).alias("f0"), F.sum(least("n1")).alias("f1")).first()
+    if not top["n0"] or not top["n1"]:
+        return words.sparkSession.createDataFrame([], "key long, delta double, n long"), 0.0
+    rest = math.log(top["f1"] / top["n1"] / (top["f0"] / top["n0"])) if top["f0"] and top["f1"] else 0.0
+    base = math.log1p(mix * math.expm1(min(rest, 30.0)))
+    share = F.col("types") / F.lit(float(top["types"]))
+    p0, p1 = ((over(f"n{c}") + top[f"f{c}"] * share) / float(top[f"n{c}"]) for c in (0, 1))
+    both = (F.col("n0") > 0) & (F.col("n1") > 0)
+    left = F.when(both, _ratio(F.col("f1") / F.col("n1"), F.col("f0") / F.col("n0"))).otherwise(F.lit(0.0))
+    stems = stems.withColumn("ratio", _ratio(p1, p0)).withColumn("stop", mixed(F.col("ratio") + left, mix))
+    above = stems.select(F.col("stem").alias("_stem"), "ratio", "stop", "types", *(F.col(c).alias(f"s_{c}") for c in ("n0", "n1", "f0", "f1")))
+    joined = words.join(above, stem == F.col("_stem"))
+    q0, q1 = ((over(f"n{c}") + F.col(f"s_f{c}") / F.col("types")) / F.col(f"s_n{c}") for c in (0, 1))
+    step = F.when((F.col("s_n0") > 0) & (F.col("s_n1") > 0), _ratio(q1, q0)).otherwise(F.lit(0.0))
+    total = (F.col("n0") + F.col("n1")).alias("n")
+    of_words = joined.select(F.xxhash64(F.concat("word", F.lit(">"))).alias("key"), (mixed(F.col("ratio") + step, mix) - F.col("stop")).alias("delta"), total)
+    of_stems = stems.select(F.xxhash64(F.concat(F.lit("<"), "stem")).alias("key"), (F.col("stop") - base).alias("delta"), total)
+    return of_words.unionByName(of_stems), base
+
+
+def _head(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries with the highest counts, as many as fit, by powers of two of their count."""
+    order = F.floor(F.log2("n")).cast("int")
+    counts = {r["o"]: r["count"] for r in table.groupBy(order.alias("o")).count().collect()}
+    room, least = size, None
+    for o in sorted(counts, reverse=True):
+        room -= counts[o]
+        if room < 0:
+            break
+        least = o
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0)
+    found = table.where(order >= least).select("key", "delta").toArrow()
+    keys, values = found.column("key").to_numpy(), found.column("delta").to_numpy()
+    at = np.argsort(keys)
+    return keys[at], values[at]
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked keys are known, and the values of these. keys is sorted."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.empty(0)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    known = keys[at] == asked
+    return known, values[at[known]]
+
+
+_SENT = "bucket int, chunk binary, idx binary, hashes binary, keys binary, sizes binary, sums binary, open binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts and their two key words, by chunks."""
+    keys, texts, chars = [], [], 0
+    for batch in batches:
+        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            text = text.as_py() or ""
+            if texts and chars + len(text) > CHUNK_CHARS:
+                yield np.array(keys, np.int64), texts
+                keys, texts, chars = [], [], 0
+            keys.append((a, b))
+            texts.append(text)
+            chars += len(text)
+    if texts:
+        yield np.array(keys, np.int64), texts
+
+
+def _send(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray], base: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk: its texts' keys, sizes, sums of what the head knows and places that are still open (a
+    row), and the distinct open hashes by bucket (a row each)."""
+    import xxhash
+
+    names = [c.split(" ")[0] for c in _SENT.split(", ")]
+    for keys, texts in _chunks(batches):
+        sizes, words, stems = [], [], []
+        for text in texts:
+            w = words_of(text)
+            sizes.append(len(w))
+            words.append(np.fromiter(map(_WORD_HASH.__getitem__, w), np.uint64, len(w)).view(np.int64))
+            stems.append(np.fromiter(map(_STEM_HASH.__getitem__, w), np.uint64, len(w)).view(np.int64))
+        of = np.repeat(np.arange(len(texts)), sizes)
+        sums, owners, asked = np.array(sizes, float) * base, [], []
+        for hashes in (np.concatenate(words), np.concatenate(stems)):
+            known, values = _look_up(*head, hashes)
+            sums += np.bincount(of[known], values, len(texts))
+            owners.append(of[~known])
+            asked.append(hashes[~known])
+        owner = np.concatenate(owners)
+        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        spots = np.stack([owner[order], place[order]], axis=1).astype(np.int32)
+        chunk = xxhash.xxh3_128_digest(keys.tobytes())
+        rows = [(int(xxhash.xxh64_intdigest(chunk) % buckets), chunk, None, None, keys.tobytes(), np.array(sizes, np.int64).tobytes(), sums.tobytes(), spots.tobytes())]
+        home = distinct.view(np.uint64) % np.uint64(buckets)
+        order = np.argsort(home, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(home[order].view(np.int64)) != 0]) if len(order) else []
+        for a, b in zip(starts, [*starts[1:], len(order)]):
+            at = order[a:b]
+            rows.append((int(home[at[0]]), chunk, at.astype(np.int32).tobytes(), distinct[at].tobytes(), None, None, None, None))
+        kinds = [pa.int32()] + [pa.binary()] * 7
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _answer(sent: pa.Table, own: pa.Table) -> pa.Table:
+    """The values of a bucket's requests; the chunks' own rows pass."""
+    keys, values = own.column("key").to_numpy(), own.column("delta").to_numpy()
+    at = np.argsort(keys)
+    keys, values = keys[at], values[at]
+    out = []
+    for r in sent.to_pylist():
+        if r["idx"] is None:
+            out.append((r["chunk"], None, None, r["keys"], r["sizes"], r["sums"], r["open"]))
+            continue
+        known, found = _look_up(keys, values, np.frombuffer(r["hashes"], np.int64))
+        if known.any():
+            out.append((r["chunk"], np.frombuffer(r["idx"], np.int32)[known].tobytes(), found.tobytes(), None, None, None, None))
+    names = ["chunk", "idx", "found", "keys", "sizes", "sums", "open"]
+    return pa.table({n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names)})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The means of a chunk's texts. Equal chunks (copies) have equal rows; one of each does."""
+    rows = table.to_pylist()
+    own = next(r for r in rows if r["keys"] is not None)
+    keys = np.frombuffer(own["keys"], np.int64).reshape(-1, 2)
+    sizes, sums = np.frombuffer(own["sizes"], np.int64), np.frombuffer(own["sums"]).copy()
+    spots = np.frombuffer(own["open"], np.int32).reshape(-1, 2)
+    if len(spots):
+        values = np.zeros(spots[:, 1].max() + 1)
+        for r in rows:
+            if r["idx"] is not None:
+                values[np.frombuffer(r["idx"], np.int32)] = np.frombuffer(r["found"])
+        sums += np.bincount(spots[:, 0], values[spots[:, 1]], len(sums))
+    return pa.table({"k1": keys[:, 0], "k2": keys[:, 1], "mean": sums / np.maximum(sizes, 1)})
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell texts apart."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole), F.xxhash64(F.lit(1), whole)
+
+
+def means(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """k1, k2, mean: for each different text (by `text_keys`) its mean log-likelihood ratio a word."""
+    spark = docs.sparkSession
+    k1, k2 = text_keys(F.col(text_col))
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    buckets = max(common.partitions(spark), chars // BUCKET_CHARS + 1)
+    head, base = spark.sparkContext.broadcast(model.head), model.base
+    sent = texts.mapInArrow(lambda it: _send(it, head.value, base, buckets), _SENT)
+    # the same bucket of a hash here and in numpy: its remainder as an unsigned number
+    key = F.col("key")
+    high, low = F.shiftrightunsigned(key, 32), key.bitwiseAND(0xFFFFFFFF)
+    bucket = F.pmod(F.pmod(high, F.lit(buckets)) * F.lit((1 << 32) % buckets) + low, F.lit(buckets)).cast("int")
+    own = model.nodes.select(bucket.alias("bucket"), "key", "delta")
+    answers = sent.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(lambda a, b: _answer(a, b), "chunk binary, idx binary, found binary, keys binary, sizes binary, sums binary, open binary")
+    return answers.groupBy("chunk").applyInArrow(_gather, "k1 long, k2 long, mean double").dropDuplicates(["k1", "k2"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", train=None, discount: float = DISCOUNT, mix: float = MIX, head: int = HEAD, max_calibration: int = MAX_CALIBRATION) -> Model:
     """train: a condition on the rows to learn from (default: all). A quarter of these, by a hash of
     the id, calibrates; the others are counted."""
     rows = with_labels(docs.select(id_col, text_col), labels, id_col, label)
     if train is not None:
         rows = rows.where(train)
     part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))
-    table = common.durable(states(word_counts(rows.where(part != 0), text_col)).where(F.col("n0") + F.col("n1") >= support), "states")
-    while table.where(F.col("n0") + F.col("n1") >= support).count() > max_states:
-        support *= 2
-    found = table.where(F.col("n0") + F.col("n1") >= support).toArrow()
-    model = log_ratios(list(zip(*(found.column(c).to_pylist() for c in ("state", "n0", "n1", "types")))), discount)
-    model = pruned(model)
+    table, base = nodes(common.durable(word_counts(rows.where(part != 0), text_col), "words"), discount, mix)
+    table = common.durable(table, "nodes")
+    model = Model(table.select("key", "delta"), base, _head(table, head))
     share = min(1.0, max_calibration / max(1, rows.select(part.alias("p")).where("p = 0").count()))
     drawn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = common.durable(rows.where(drawn & (part == 0)).select(id_col, "label_", features_udf(model)(F.col(text_col)).alias("x")), "calibration", files=8)
-    kept = sample.select("x", "label_").toArrow()
-    x = np.array(kept.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
-    model.weights, model.intercept = logistic(x, np.array(kept.column("label_").to_pylist(), float))
+    sample = common.durable(rows.where(drawn & (part == 0)).select(F.col(text_col).alias("text"), "label_"), "calibration")
+    k1, k2 = text_keys(F.col("text"))
+    kept = sample.select(k1.alias("k1"), k2.alias("k2"), "label_").join(means(sample, model), ["k1", "k2"]).select("mean", "label_").toArrow()
+    weights, model.intercept = logistic(kept.column("mean").to_numpy().reshape(-1, 1), kept.column("label_").to_numpy().astype(float), l2=1e-5)
+    model.slope = float(weights[0])
     return model
 
 
+def _judged(found: DataFrame, model: Model) -> DataFrame:
+    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.col("mean"))))
+    found = found.select(F.col("k1").alias("toxicity_k1"), F.col("k2").alias("toxicity_k2"), score.alias("toxicity_score"))
+    return found.withColumn("toxicity_predicted", (F.col("toxicity_score") >= 0.5).cast("int"))
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with toxicity_score (0 to 1) and toxicity_predicted (1 from 0.5 on)."""
-    x = features_udf(model)(F.col(text_col))
-    scored = docs.withColumn("_toxicity_x", x)
-    z = F.lit(model.intercept) + sum((F.col("_toxicity_x")[k] * float(w) for k, w in enumerate(model.weights)), F.lit(0.0))
-    scored = scored.withColumn("toxicity_score", 1 / (1 + F.exp(-z))).drop("_toxicity_x")
-    return scored.withColumn("toxicity_predicted", (F.col("toxicity_score") >= 0.5).cast("int"))
+    found = _judged(means(docs, model, text_col), model)
+    k1, k2 = text_keys(F.col(text_col))
+    keyed = docs.withColumns({"toxicity_1": k1, "toxicity_2": k2})
+    joined = keyed.join(found, (F.col("toxicity_1") == F.col("toxicity_k1")) & (F.col("toxicity_2") == F.col("toxicity_k2")))
+    return joined.select(*docs.columns, "toxicity_score", "toxicity_predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic; texts stay where they are while few enough are."""
+    found = common.durable(_judged(means(docs, model, text_col), model).where("toxicity_predicted = 1").select("toxicity_k1", "toxicity_k2"), "toxic")
+    if found.count() <= BROADCAST_REJECTED:
+        found = F.broadcast(found)
+    k1, k2 = text_keys(F.col(text_col))
+    return docs.join(found, (k1 == F.col("toxicity_k1")) & (k2 == F.col("toxicity_k2")), "left_anti")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -45,43 +46,67 @@ def test_toxicity_held_out_accuracy(spark, tmp_path):
     assert len({r.score for r in got if r.doc_id in (9000, 9001, 9002)}) == 1
 
 
-def test_log_ratios_are_probabilities_of_both_classes(spark):
-    """The ratios match models that are computed word by word, and each model's words sum to at most one."""
-    rnd = random.Random(1)
-    words = ["".join(rnd.choices("ab", k=rnd.randrange(1, 5))) for _ in range(300)]
-    counts = {}
-    for w in words:
-        counts.setdefault(w, [0, 0])[rnd.randrange(2)] += 1
-    df = spark.createDataFrame([(w, a, b) for w, (a, b) in counts.items()], "word string, n0 long, n1 long")
-    rows = [tuple(r) for r in toxicity.states(df).collect()]
-    model = toxicity.log_ratios(rows, 0.5)
-    table = {s: (n0, n1, t) for s, n0, n1, t in rows}
-
-    def plain(path, c):
-        p = 1.0
-        for k in range(1, len(path) + 1):
-            h, n = path[: k - 1], table[path[:k]]
-            children = [s for s in table if len(s) == k and s[:-1] == h]
-            freed = sum(min(table[s][c], 0.5) for s in children)
-            p *= (max(n[c] - 0.5, 0) + freed * n[2] / table[h][2]) / table[h][c] if table[h][c] else n[2] / table[h][2]
-        return p
-
-    ends = [s for s in table if s.endswith(toxicity.END)]
-    for c in (0, 1):
-        assert abs(sum(plain(s, c) for s in ends) - 1) < 1e-9
-    for s in ends:
-        if all(table[s[:k]][0] and table[s[:k]][1] for k in range(len(s))):
-            assert math.isclose(model.llr[s], math.log(plain(s, 1) / plain(s, 0)), abs_tol=1e-9)
-
-
-def test_pruned_models_say_nearly_the_same(spark):
+def plain_model(rows, discount=toxicity.DISCOUNT, mix=toxicity.MIX):
+    """rows: text, label. The value of a word, computed in plain Python from the definitions."""
+    pairs = [set(), set()]
+    for text, label in rows:
+        words = toxicity.words_of(text)
+        pairs[label].update(zip([None, *words], words))
+    n = [Counter(w for _, w in p) for p in pairs]
+    known = sorted(n[0].keys() | n[1].keys())
+    stem = lambda w: w[: toxicity.STEM]
+    of = {}
+    for w in known:
+        of.setdefault(stem(w), []).append(w)
+    count = lambda s, c: sum(n[c][w] for w in of[s])
+    log = lambda a, b: math.log(a / b) if a > 0 and b > 0 else 0.0
+    g = lambda v: math.log1p(mix * math.expm1(min(v, 30)))
+    total = [sum(c.values()) for c in n]
+    freed = [sum(min(discount, count(s, c)) for s in of) for c in (0, 1)]
+
+    def value(w):
+        s = stem(w)
+        if s not in of:
+            return g(log(freed[1] / total[1], freed[0] / total[0]))
+        a = [count(s, c) for c in (0, 1)]
+        p = [(max(a[c] - discount, 0) + freed[c] * len(of[s]) / len(known)) / total[c] for c in (0, 1)]
+        ratio = log(p[1], p[0])
+        if a[0] and a[1]:
+            f = [sum(min(discount, n[c][x]) for x in of[s]) for c in (0, 1)]
+            q = [(max(n[c][w] - discount, 0) + f[c] / len(of[s])) / a[c] for c in (0, 1)]
+            ratio += log(q[1], q[0]) if n[0][w] + n[1][w] else log(f[1] / a[1], f[0] / a[0])
+        return g(ratio)
+
+    return value
+
+
+@pytest.mark.parametrize("head", [0, 60, 10**6])
+def test_toxicity_scores_against_plain_python(spark, head, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 3000)
     docs, labels = toxic_corpus(200)
-    rows = labelled.with_labels(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "toxic")
-    whole = toxicity.log_ratios([tuple(r) for r in toxicity.states(toxicity.word_counts(rows, "text")).collect()], 2.0)
-    small = toxicity.pruned(whole, 0.05)
-    assert len(small.llr) < len(whole.llr)
-    words = {w for _, t in docs for w in (t or "").lower().split()} | {"never", "seen", "blorgx"}
-    assert all(abs(whole.of_word(w) - small.of_word(w)) <= 0.05 * (toxicity.DEPTH + 1) for w in words)
+    docs += [(20_000, "never seen taresek words blorgs"), (20_001, "ta " * 40)]
+    d = spark.createDataFrame([(*r, 1.5) for r in docs], "doc_id long, text string, mean double").repartition(4)
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), head=head)
+    assert len(model.head[0]) <= head and (head < 10**6 or len(model.head[0]) == model.nodes.count())
+    truth = {i: t for i, _, t in labels if t is not None}
+    parts = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in truth if i is not None], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(4))).collect()}
+    value = plain_model([(t, truth[i]) for i, t in docs if i in parts and parts[i] != 0])
+    out = toxicity.score(d, model)
+    assert out.columns == [*d.columns, "toxicity_score", "toxicity_predicted"]
+    got = out.collect()
+    assert len(got) == len(docs)
+    for r in got:
+        words = toxicity.words_of(r.text)
+        z = model.intercept + model.slope * (sum(map(value, words)) / max(1, len(words)))
+        assert math.isclose(r.toxicity_score, 1 / (1 + math.exp(-z)), abs_tol=1e-6)
+    kept = toxicity.without_toxic(d, model)
+    assert kept.columns == d.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(repr(tuple(r)[:3]) for r in got if not r.toxicity_predicted)
+
+
+def test_repeated_passages_are_one_piece_of_evidence(spark):
+    rows = spark.createDataFrame([("a b a b a b", 0), ("a b a b a b", 0), ("b x b", 1), (None, 1)], "text string, label_ int")
+    assert {r.word: (r.n0, r.n1) for r in toxicity.word_counts(rows, "text").collect()} == {"a": (2, 0), "b": (1, 2), "x": (0, 1)}
 
 
 def test_toxicity_without_labels_and_empty_tables(spark):
@@ -93,13 +118,6 @@ def test_toxicity_without_labels_and_empty_tables(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_support_doubles_until_the_states_fit(spark):
-    docs, labels = toxic_corpus(120)
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    assert len(toxicity.fit(d, lab, max_states=40).llr) <= 41
-
-
 def test_fold_matches_zlib(spark):
     ids = [0, 1, 49, 123456789012, -5]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select(labelled.fold(F.col("i"), 5)).collect()
