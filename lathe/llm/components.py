@@ -1,7 +1,7 @@
 """Connected components of a graph whose edges are a DataFrame.
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): each step is a minimum by node
-and a join, so no neighbour list is ever gathered, and a hub's edges stay spread as rows. Every
+and a join, so no neighbour list is ever gathered; a hub's edges are spread over several tasks by salts. Every
 round is written to the shared folder, so neither plans nor recomputation grow with the rounds.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import durable, partitions
+from lathe.llm.common import durable, partitions, spread_join
 
 #: Edges that one file of a round's table holds, about.
 EDGES_A_FILE = 2_000_000
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen, files = mark, min(partitions(edges.sparkSession), mark[0] // EDGES_A_FILE + 1)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both, least, "a", 2 * mark[0]).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a > b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        rest = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rest = spread_join(large, lower, "a", mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = durable(lower.select("a", F.col("m").alias("b")).unionByName(rest.where("a > b")).distinct(), "edges", files)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -21,8 +21,8 @@ that close a circle are left out. Links become groups in `components`. Equal fin
 node throughout, so copies never make pairs.
 
 Three of 64 bits are a strict radius. `deduplicate` therefore also finds texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more, verified on the shingles themselves (on a sketch of the
-SKETCH least hashes for texts that have more). Texts meet where the MinHashes of one of BANDS bands agree:
+shingles have a Jaccard similarity of 0.8 or more, verified on the whole sets (of 32-bit hashes, of which one
+in some thousand falls on another in texts of a million shingles). Texts meet where the MinHashes of one of BANDS bands agree:
 pairs of similarity 0.8 do in 99.8 of a hundred cases. No pair that meets is left out before it is verified,
 unless verified links connect it already: each meeting is first checked against its least text; where that
 leaves a meeting in several groups, every text outside the largest is checked against all others, in blocks
@@ -51,10 +51,11 @@ RADIUS = 3
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 5
-SKETCH = 256
-#: Texts of either side that one block of a meeting compares (about 1 kB each), and rows that one task gets, about.
-BLOCK = 1000
-TASK_ROWS = 20_000
+#: Shingles (4 bytes each) of either side that one block of a meeting compares, and that one task gets, about.
+#: A text counts for OVERHEAD shingles more than it has.
+BLOCK = 500_000
+TASK_SHINGLES = 8_000_000
+OVERHEAD = 64
 #: Ids of dropped documents, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Fingerprints that one bucket's task holds at most, about (8 bytes each).
@@ -254,26 +255,26 @@ def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(nodes.select(F.lit(0).alias("t"), F.col("fp").alias("f")), radius).select("a", "b"))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "component_id")
+    return common.spread_join(labelled, least, "label", nodes.count()).select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """A row for each document: id, fp (signed long) and component_id."""
     fps = common.durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "document-fingerprints")
-    return fps.join(grouped(fps, radius), "fp").select("id", "fp", "component_id")
+    return common.spread_join(fps, grouped(fps, radius), "fp", fps.count()).select("id", "fp", "component_id")
 
 
-_SIGNATURE = "norm binary, fp long, sketch binary, bands array<long>"
+_SIGNATURE = "norm binary, fp long, grams binary, bands array<long>"
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(text: Column, shingle: int = SHINGLE) -> Column:
-    """norm: a 128-bit hash of the text's words; fp: its SimHash; sketch: the least SKETCH of its shingles'
-    32-bit hashes, packed; bands: hashes of BAND_ROWS MinHashes of its shingles each (null under `shingle` words)."""
+    """norm: a 128-bit hash of the text's words; fp: its SimHash; grams: its shingles' distinct 32-bit hashes,
+    sorted and packed; bands: hashes of BAND_ROWS MinHashes of its shingles each (null under `shingle` words)."""
 
     @F.arrow_udf(_SIGNATURE)
     def of(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(_signatures([t.as_py() or "" for t in texts], shingle), ["norm", "fp", "sketch", "bands"])
+        return pa.StructArray.from_arrays(_signatures([t.as_py() or "" for t in texts], shingle), ["norm", "fp", "grams", "bands"])
 
     return of(text)
 
@@ -297,22 +298,22 @@ def _norm(words: list[bytes]) -> bytes:
 def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
     from lathe.llm.fingerprints import WORD_HASH, mixed
 
-    norms, fps, sketches, bands = [], [], [], []
+    norms, fps, packed, bands = [], [], [], []
     for text in texts:
         words = text.encode("utf-8").lower().split()
         norms.append(_norm(words))
         fps.append(simhash(text))
         if len(words) < shingle:
-            sketches.append(b"")
+            packed.append(b"")
             bands.append(None)
             continue
         h = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
         grams = np.zeros(len(h) - shingle + 1, np.uint64)
         for k in range(shingle):
             grams = mixed(grams * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
-        sketches.append(np.unique((grams >> np.uint64(32)).astype("<u4"))[: SKETCH + 1].tobytes())
+        packed.append(np.unique((grams >> np.uint64(32)).astype("<u4")).tobytes())
         bands.append(_bands(np.unique(grams)))
-    return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+    return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
 
 def _bands(grams: np.ndarray) -> np.ndarray:
@@ -329,14 +330,10 @@ def _bands(grams: np.ndarray) -> np.ndarray:
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    """Similarity of two sketches: exact if both hold all shingles, else estimated from the least of the union."""
+    """Similarity of two packed sets; 0 if both are empty."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    whole = len(x) <= SKETCH and len(y) <= SKETCH
-    union = np.union1d(x, y)
-    if not whole:
-        union = union[:SKETCH]
-        x, y = x[x <= union[-1]], y[y <= union[-1]]
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(union) if len(union) else 0.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
 
 
 @F.arrow_udf(T.DoubleType())
@@ -357,30 +354,31 @@ def _same_prints(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """g, norm, n, head: the texts of each meeting of n texts, two or more, whose keys of a band agree, and
+    """g, norm, size, n, head: the texts of each meeting of n texts, two or more, whose keys of a band agree, and
     the least of them. Meetings of the same texts in several bands count once."""
-    keys = nodes.where("bands is not null").select("norm", F.explode("bands").alias("g"))
+    keys = nodes.where("bands is not null").select("norm", "size", F.explode("bands").alias("g"))
     groups = keys.groupBy("g").agg(F.count("*").alias("n"), F.min("norm").alias("head"), F.expr("bit_xor(xxhash64(norm))").alias("texts")).where("n > 1")
     groups = common.durable(groups.groupBy("n", "head", "texts").agg(F.min("g").alias("g")).select("g", "n", "head"), "meetings")
     return common.durable(keys.join(groups, "g"), "met")
 
 
-def _compared(met: DataFrame, labels: DataFrame, sketches: DataFrame, similarity: float, block: int, task_rows: int) -> DataFrame:
+def _compared(met: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, block: int, task_shingles: int) -> DataFrame:
     """a, b: verified links between texts of one meeting that have different labels (norm, label), as many
-    as connect what all such links connect. Those outside a meeting's most frequent label are compared
+    as connect what all such links connect. Those outside a meeting's largest label are compared
     with all of it, a block of the one with a block of the other at a time."""
-    rows = common.durable(met.where("n > 2").select("g", "norm", "n").join(labels, "norm"), "labelled")
-    parts = rows.groupBy("g", "label").agg(F.count("*").alias("c"))
+    rows = common.durable(met.where("n > 2").select("g", "norm", "size").join(labels, "norm"), "labelled")
+    weight = F.col("size") + OVERHEAD
+    parts = rows.groupBy("g", "label").agg(F.sum(weight).alias("c"))
     groups = parts.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("all"))
     groups = groups.where("labels > 1").select("g", F.col("most.label").alias("main"), F.ceil(F.col("all") / block).alias("wide"), F.ceil((F.col("all") - F.col("most.c")) / block).alias("tall"))
-    open_ = rows.join(groups, "g").select("g", "norm", "label", "main", "wide", "tall")
+    open_ = rows.join(groups, "g").select("g", "norm", "size", "label", "main", "wide", "tall")
     spot = lambda n: F.pmod(F.xxhash64("norm"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     every = open_.withColumn("x", spot("wide")).withColumn("y", upto("tall")).withColumn("odd", F.lit(False))
     others = open_.where("label <> main").withColumn("y", spot("tall")).withColumn("x", upto("wide")).withColumn("odd", F.lit(True))
-    sent = common.durable(every.unionByName(others).select("g", "x", "y", "odd", "norm", "label"), "blocks")
-    tasks = max(common.partitions(met.sparkSession), sent.count() // task_rows + 1)
-    sent = sent.join(sketches.withColumnRenamed("norm", "_n"), F.col("norm") == F.col("_n")).drop("_n")
+    sent = common.durable(every.unionByName(others).select("g", "x", "y", "odd", "norm", "size", "label"), "blocks")
+    tasks = max(common.partitions(met.sparkSession), (sent.agg(F.sum(weight)).first()[0] or 0) // task_shingles + 1)
+    sent = sent.drop("size").join(sets.withColumnRenamed("norm", "_n"), F.col("norm") == F.col("_n")).drop("_n")
     sent = sent.withColumn("task", F.pmod(F.xxhash64("g", "x", "y"), F.lit(tasks)))
     return sent.groupBy("task").applyInArrow(lambda t: _block_links(t, similarity), "a binary, b binary")
 
@@ -389,7 +387,7 @@ def _block_links(table: pa.Table, similarity: float) -> pa.Table:
     """The verified links of the blocks of one task."""
     table = table.sort_by([("g", "ascending"), ("x", "ascending"), ("y", "ascending")])
     g, x, y, odd = (table.column(c).to_numpy(zero_copy_only=False) for c in ("g", "x", "y", "odd"))
-    norms, labels, packed = (table.column(c).to_pylist() for c in ("norm", "label", "sketch"))
+    norms, labels, packed = (table.column(c).to_pylist() for c in ("norm", "label", "grams"))
     cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
     parent: dict[bytes, bytes] = {}
     found: list[tuple[bytes, bytes]] = []
@@ -416,7 +414,7 @@ def _block_links(table: pa.Table, similarity: float) -> pa.Table:
             at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
             common_ = np.bincount(owner[at], minlength=len(sets))
             # a similarity needs that share of the union in common, and the union has at least the larger set
-            for j in np.flatnonzero(common_ >= similarity * np.minimum(SKETCH, np.maximum(size, len(own))) - 1e-9).tolist():
+            for j in np.flatnonzero(common_ >= similarity * np.maximum(size, len(own)) - 1e-9).tolist():
                 p, q = root(labels[k]), root(labels[all_[j]])
                 if p != q and jaccard(packed[k], packed[all_[j]]) >= similarity:
                     parent[max(p, q)] = min(p, q)
@@ -424,28 +422,30 @@ def _block_links(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """A row for each document: id, norm (a hash of its words), label (the group's) and component_id, the least
     id of its group. Links: fingerprints within the radius, or five-word shingles of at least this similarity."""
     base = docs.select(F.col(id_col).alias("id"), signature(F.col(text_col)).alias("s")).select("id", "s.*")
     base = common.durable(base, "signatures")
-    nodes = common.durable(base.groupBy("norm").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    nodes = common.durable(base.groupBy("norm").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.octet_length("grams") / 4).cast("long").alias("size")), "texts")
     met = _met(nodes)
     wanted = met.select("norm").distinct().join(nodes.select("norm", "least"), "norm")
     wanted = wanted.select(F.col("norm").alias("_n"), F.col("least").alias("_l"))
-    sketches = base.select("id", "norm", "sketch").join(wanted, (F.col("norm") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_l"))).select("norm", "sketch").dropDuplicates(["norm"])
-    sketches = common.durable(sketches, "sketches")
+    sets = base.select("id", "norm", "grams").join(wanted, (F.col("norm") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_l"))).select("norm", "grams").dropDuplicates(["norm"])
+    sets = common.durable(sets, "shingles")
     pairs = common.durable(met.where("norm <> head").select(F.col("norm").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
-    one, two = (sketches.select(F.col("norm").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in (1, 2))
+    one, two = (sets.select(F.col("norm").alias(f"n{k}"), F.col("grams").alias(f"s{k}")) for k in (1, 2))
     both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     verified = both.where(_jaccard("s1", "s2") >= similarity).select("a", "b")
     first = components(_same_prints(nodes.select("norm", "fp"), radius).unionByName(verified))
     labels = wanted.select(F.col("_n").alias("norm")).join(first, F.col("norm") == F.col("node"), "left").select("norm", F.coalesce("root", "norm").alias("label"))
-    more = _compared(met, labels, sketches, similarity, block, task_rows)
+    more = _compared(met, labels, sets, similarity, block, task_shingles)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     labelled = nodes.select("norm", "least").join(roots, F.col("norm") == F.col("node"), "left").select("norm", "least", F.coalesce("root", "norm").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return base.select("id", "norm").join(labelled.join(least, "label").select("norm", "label", "component_id"), "norm").select("id", "norm", "label", "component_id")
+    rows = nodes.count()
+    of_texts = common.durable(common.spread_join(labelled, least, "label", rows).select("norm", "label", "component_id"), "groups")
+    return common.spread_join(base.select("id", "norm"), of_texts, "norm", rows).select("id", "norm", "label", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -457,7 +457,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     who = F.struct(F.col("id").isNull().alias("none"), "id", "norm")
     best = found.groupBy("label").agg(F.min(who).alias("best"))
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("norm") == F.col("best.norm"))
-    verdicts = common.durable(found.join(best, "label").select("id", "norm", "rows", stays.alias("stays")), "verdicts")
+    verdicts = common.durable(common.spread_join(found, best, "label", found.count()).select("id", "norm", "rows", stays.alias("stays")), "verdicts")
     ids = common.durable(verdicts.groupBy("id").agg(F.sum("rows").alias("rows"), F.max("stays").alias("stays")), "ids")
 
     def sized(df: DataFrame) -> DataFrame:

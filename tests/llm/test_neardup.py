@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lathe.llm import components, neardup
+from lathe.llm import common, components, neardup
 
 
 def plain_groups(ids, linked):
@@ -153,8 +153,8 @@ def test_similar_groups_against_all_pairs(spark):
     assert sum(v != k for k, v in want.items()) > 40
 
 
-@pytest.mark.parametrize("block,task_rows", [(1000, 20_000), (3, 10)])
-def test_pairs_are_verified_before_links_are_thinned(spark, block, task_rows):
+@pytest.mark.parametrize("block,task_shingles", [(500_000, 8_000_000), (900, 3000)])
+def test_pairs_are_verified_before_links_are_thinned(spark, block, task_shingles):
     """Each text's edits spread over it, so A, the least text of most meetings, is unlike the others (0.6 to
     0.75), while two and two of these are alike: no link may be lost because A is not a link of theirs. The same
     for texts of the same words in many orders, two and two of which differ by two swaps."""
@@ -181,7 +181,7 @@ def test_pairs_are_verified_before_links_are_thinned(spark, block, task_rows):
         pairs.append((len(rows), len(rows) + 1))
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(two))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.id: r.component_id for r in neardup.similar_groups(docs, block=block, task_rows=task_rows).collect()}
+    got = {r.id: r.component_id for r in neardup.similar_groups(docs, block=block, task_shingles=task_shingles).collect()}
     assert all(got[a] == got[b] for a, b in pairs)
     sets = {i: shingles(t) for i, t in rows}
     fps = {i: plain_simhash(t) for i, t in rows}
@@ -189,13 +189,31 @@ def test_pairs_are_verified_before_links_are_thinned(spark, block, task_rows):
     assert got == plain_groups(list(sets), similar)
 
 
-def test_sketch_similarity():
+def test_similarity_is_exact_at_every_size():
     rnd = random.Random(2)
-    for n in (50, 2000):
+    for n in (6, 50, 2000, 60_000):
         words = [str(rnd.randrange(10**6)) for _ in range(n)]
         other = words[: n // 10 * 9] + [str(rnd.randrange(10**6)) for _ in range(n // 10)]
         a, b = (" ".join(w) for w in (words, other))
         x, y = shingles(a), shingles(b)
-        sketch = [s.as_py() for s in neardup._signatures([a, b], 5)[2]]
-        assert abs(neardup.jaccard(*sketch) - len(x & y) / len(x | y)) <= (0.0 if n == 50 else 0.08)
+        sets = [s.as_py() for s in neardup._signatures([a, b], 5)[2]]
+        assert abs(neardup.jaccard(*sets) - len(x & y) / len(x | y)) <= (0.0 if n < 10_000 else 1e-4)
     assert neardup.jaccard(b"", b"") == 0.0
+
+
+def test_long_texts_are_compared_whole(spark):
+    """Two texts of 3,000 words that differ in the middle only, on either side of a similarity of 0.8."""
+    words = [f"w{k}" for k in range(3000)]
+    near, far = list(words), list(words)
+    near[1400:1700] = [f"n{k}" for k in range(300)]  # 2,692 of 3,300
+    far[1400:1740] = [f"f{k}" for k in range(340)]  # 2,652 of 3,340
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.id: r.component_id for r in neardup.similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_spread_join_splits_hot_keys(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("k"), "id")
+    right = left.select("k").distinct().withColumn("v", F.col("k") * 2)
+    out = common.spread_join(left, right, "k", 5000)
+    assert out.count() == 5000 and out.where("v = 2 * k").count() == 5000 and sorted(out.columns) == ["id", "k", "v"]
+    assert common.spread_join(left.limit(0), right, "k", 0).count() == 0
