@@ -112,8 +112,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -
 
 def _entries(text: Column, trigrams: list[str]) -> Column:
     """The postings of one document: the numbers of the trigrams that its text contains."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(trigrams))))
+    has = lambda low: F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(trigrams)))
+    return F.array_compact(_let(F.lower(F.coalesce(text, F.lit(""))), has))
 
 
 def candidates(entries: Column, rule: Rule, trigrams: list[str]) -> Column:
