@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions.stats import equal_width_bin, normal_quantile_sql, order_median_sql
-from lathe.operators.ordering import order_rows
+from lathe.operators.ordering import with_places
 from lathe.options import HISTOGRAM_BINS, TOP_FEATURES
 
 Y, P = "label", "prediction"
@@ -45,24 +45,11 @@ def target_histogram(df: DataFrame, target: str, bins: int = HISTOGRAM_BINS) ->
     return histogram(df, F.col(f"`{target}`"), bins)
 
 
-#: Residuals up to this number are each a point of the Q-Q plot; of more, as many at even places.
-QQ_POINTS = 10_000
-
-
-def qq_points(predictions: DataFrame, points: int = QQ_POINTS) -> DataFrame:
-    """theoretical, sample: normal quantiles at the residuals' places against the residuals. A plot of more
-    than `points` residuals shows that many of them, at even places of their order."""
+def qq_points(predictions: DataFrame) -> DataFrame:
+    """theoretical, sample: normal quantiles at the residuals' places against the residuals, a point each."""
     r = (F.col(Y) - F.col(P)).cast("double")
-    known = predictions.select(r.alias("sample")).where("sample is not null")
-    n = known.count()
-    if n <= points:
-        w = Window.orderBy("sample")
-        placed = known.select("sample", F.row_number().over(w).cast("double").alias("i"))
-    else:
-        places = sorted({round(k * (n - 1) / (points - 1)) for k in range(points)})
-        rows = order_rows(known, [F.col("sample")], places)
-        placed = known.sparkSession.createDataFrame([(float(v[0]), float(k + 1)) for k, v in rows.items()], "sample double, i double")
-    m = placed.select("sample", F.expr(order_median_sql("i", f"{float(n)}D")).alias("m"))
+    placed, n = with_places(predictions.select(r.alias("sample")).where("sample is not null"), "sample", "i")
+    m = placed.select("sample", F.expr(order_median_sql("cast(i as double)", f"{float(n)}D")).alias("m"))
     return m.select(F.expr(normal_quantile_sql("m")).alias("theoretical"), "sample")
 
 

@@ -21,6 +21,8 @@ from lathe.sources.tables import is_number
 FEATURES, LABEL = "features", "label"
 #: Up to so many rows exact medians come from one aggregate, beyond from a distributed sort.
 AGGREGATE_MEDIAN_ROWS = 5_000_000
+#: Rows that settle most columns' questions of "more distinct values than this?".
+FIRST_ROWS = 20_000
 PARTS = ("year", "month", "day", "weekday")
 
 
@@ -69,10 +71,19 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: row[f"d{k}"] for k, c in enumerate(columns)}
 
 
+def with_more_than(df: DataFrame, columns: list[str], bound: int) -> set[str]:
+    """Columns with more than `bound` distinct known values. Those that show them in the first rows are
+    settled by these; only the others are counted over all rows."""
+    first = distinct_counts(df.select(*map(quoted, columns)).limit(FIRST_ROWS), columns) if columns else {}
+    settled = {c for c, n in first.items() if n > bound}
+    return settled | {c for c, n in distinct_counts(df, [c for c in columns if c not in settled]).items() if n > bound}
+
+
 def constant_columns(df: DataFrame, keep: set[str]) -> list[str]:
     """Columns outside `keep` with at most one known value."""
-    counts = distinct_counts(df, [c for c in df.columns if c not in keep])
-    return [c for c, n in counts.items() if n <= LOW_VARIANCE_DISTINCT]
+    columns = [c for c in df.columns if c not in keep]
+    varied = with_more_than(df, columns, LOW_VARIANCE_DISTINCT)
+    return [c for c in columns if c not in varied]
 
 
 @dataclass(frozen=True)
@@ -87,8 +98,8 @@ def classify(train: DataFrame, columns: list[str]) -> Classes:
     kinds = {f.name: f.dataType for f in train.schema.fields}
     numeric = [c for c in columns if is_number(kinds[c])]
     others = [c for c in columns if c not in numeric]
-    counts = distinct_counts(train, others)
-    return Classes(numeric, [c for c in others if counts[c] <= HIGH_CARDINALITY], [c for c in others if counts[c] > HIGH_CARDINALITY])
+    many = with_more_than(train, others, HIGH_CARDINALITY)
+    return Classes(numeric, [c for c in others if c not in many], [c for c in others if c in many])
 
 
 def exact_medians(df: DataFrame, columns: list[str], n: int | None = None) -> dict[str, float | None]:

@@ -36,6 +36,23 @@ def order_rows(df: DataFrame, order: list[Column], ranks: list[int]) -> dict[int
         placed.unpersist()
 
 
+def with_places(df: DataFrame, by: str, out: str) -> tuple[DataFrame, int]:
+    """df with a column `out`, each row's place (from 1) in the order of the column `by`, and how many rows
+    there are. Sorted once over range partitions; only their counts go to the driver and back as a small array."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())  # spreads equal values over partitions
+    placed = tied.repartitionByRange(n, by, "_tie").sortWithinPartitions(by).select(*df.columns, F.monotonically_increasing_id().alias("_at")).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r["p"]: r["count"] for r in placed.groupBy(part.alias("p")).count().collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    starts = F.array(*map(F.lit, before)) if before else F.array(F.lit(0))
+    place = F.get(starts, part) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn(out, place).drop("_at"), total
+
+
 def at_most(order: list[Column], bound: tuple) -> Column:
     """Whether a row comes no later in the order than a bound; nulls come first."""
     out = F.lit(True)

@@ -153,8 +153,13 @@ def test_charts(spark):
     points = [r.theoretical for r in charts.qq_points(p).orderBy("theoretical").collect()]
     m = [1 - 0.5 ** (1 / n), *((i - 0.3175) / (n + 0.365) for i in range(2, n)), 0.5 ** (1 / n)]
     assert np.allclose(points, [statistics.NormalDist().inv_cdf(v) for v in m], atol=1e-7)
-    few = charts.qq_points(p, points=50)
-    assert few.count() == 50
+    n = 25_000
+    many = charts.qq_points(spark.range(n).select(F.floor(F.col("id") * 7919 % n / 3).cast("double").alias("label"), F.lit(0.0).alias("prediction")))
+    found = sorted((r.sample, r.theoretical) for r in many.collect())
+    m = [1 - 0.5 ** (1 / n), *((i - 0.3175) / (n + 0.365) for i in range(2, n)), 0.5 ** (1 / n)]
+    assert [s for s, _ in found] == sorted(float(k * 7919 % n // 3) for k in range(n))
+    assert np.allclose([t for _, t in found], [statistics.NormalDist().inv_cdf(v) for v in m], atol=1e-7)
+    assert charts.qq_points(p.limit(0)).count() == 0
     long = charts.error_bars(spark.createDataFrame([("m", 1.0, 2.0, 3.0)], "model string, mae double, rmse double, median_ae double"))
     assert sorted((r.metric, r.value) for r in long.collect()) == [("mae", 1.0), ("median_ae", 3.0), ("rmse", 2.0)]
     top = charts.top_importances(spark.range(40).select(F.lit("m").alias("model"), F.col("id").cast("string").alias("feature"), F.col("id").cast("double").alias("importance")), "m")

@@ -150,3 +150,9 @@ def test_target_checks_and_log_guard(spark):
 def test_constant_columns(spark):
     df = spark.createDataFrame([(1, None, "a", 1), (1, None, None, 2)], "one int, none double, some string, two int")
     assert features.constant_columns(df, {"two"}) == ["one", "none", "some"]
+
+
+def test_more_than_so_many_values(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") > 59_990, F.col("id")).alias("late"), F.lit(None).cast("string").alias("none"), F.lit("x").alias("b c"))
+    assert features.with_more_than(df, df.columns, 2) == {"a", "late"} and features.with_more_than(df, df.columns, 3) == {"late"}
+    assert features.constant_columns(df, {"late"}) == ["none", "b c"] and features.with_more_than(df, [], 1) == set()
