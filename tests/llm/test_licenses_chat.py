@@ -101,6 +101,31 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert json.loads(got[0].message) == {"role": "user", "content": "{not json"}
 
 
+def test_first_of_several_calls_and_results_is_linked(spark):
+    result = lambda text, **more: json.dumps({"tool_call_id": "1", "content": text, **more})
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [call("1", "calculate", {"expression": "1"}), call("1", "calculate", {"expression": "2"})]})),
+        (1, 1, "assistant", json.dumps({"tool_calls": [call("1", "calculate", {"expression": "3"})], "note": {"z": [1, None], "b": "é'\\"}, "at": None})),
+        (1, 2, "tool", result("one", note="kept", aaa=1.5)),
+        (1, 3, "tool", result("two")),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.formatted(df).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.n_calls, r.n_linked) for r in got] == [(0, 2, 1), (1, 1, 0), (2, 0, 1), (3, 0, 0)]
+    messages = [json.loads(r.message) for r in got]
+    assert messages[1]["note"] == {"z": [1, None], "b": "é'\\"} and messages[1]["at"] is None
+    assert messages[2] == {"aaa": 1.5, "content": "one", "note": "kept", "role": "tool", "tool_call_id": "1"}
+    for r, m in zip(got, messages):
+        assert json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.message
+
+
+def test_levels_of_long_chains_and_cycles(spark):
+    rows = [(1, f"c{k}", [f"c{k - 1}"] if k else None) for k in range(6)] + [(1, "x", ["y", "c0"]), (1, "y", ["x"]), (1, "behind", ["x"]), (None, "n", ["c0"]), (2, "c1", ["c0", "c1"])]
+    df = spark.createDataFrame(rows, "conv long, id string, depends_on array<string>")
+    got = {(r.conv, r.id): r.level for r in chat.levels(df).collect()}
+    assert got == {**{(1, f"c{k}"): k for k in range(6)}, (1, "x"): None, (1, "y"): None, (1, "behind"): None, (None, "n"): 0, (2, "c1"): None}
+
+
 def test_messages_that_share_a_conversation(spark):
     rnd = random.Random(1)
     rows = [(7, rnd.randrange(50), "user", f"t{rnd.randrange(20)}") for _ in range(3000)] + [(k % 90, k, "user", "x") for k in range(900)]
