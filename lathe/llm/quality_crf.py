@@ -4,13 +4,14 @@ Each line of a text is good or bad. A line's features are its own, those of the
 of the line after it; a pair of neighbouring labels has a weight of its own. Lines are trained with
 their document's label, which is all that the labels say. A document's quality is the mean of its
 lines' marginal probabilities of being good, by forward-backward, weighted by the lines' lengths; a
-logistic link, fitted on other labelled rows, turns its logit and a few means into a score.
+slope and an intercept, fitted on other labelled rows, turn its logit into a score.
 
-The field is fitted on the driver on a bounded sample of labelled rows (`max_fit` documents, drawn by a
-hash of the id, with lines' features computed on the executors). Everything else is scored where it is.
+The field is fitted on the driver on a bounded sample of labelled rows (`max_fit` documents of at most
+`max_lines` lines, drawn by a hash of the id, with lines' features computed on the executors). Everything
+else is scored where it is, whole.
 
-Edge cases: null text is the empty text; blank lines aren't labelled; a text without words has the
-features of none; null labels and ids don't count; without labels of both classes all scores are
+Edge cases: null text is the empty text; blank lines aren't labelled; a text without words has no good
+line; null labels and ids don't count; without labels of both classes all scores are
 alike; rows with equal ids each get a row; extra columns stay, but for `quality_score` and
 `quality_predicted`.
 """
@@ -30,6 +31,8 @@ from lathe.llm import common
 from lathe.llm.labelled import fold, logistic, with_labels
 
 MAX_FIT = 4_000
+#: Labelled texts of more lines don't fit the field (they are scored like any other).
+MAX_LINES = 200
 _SYMBOLS = bytes(b"#*$%&|<>")
 _UPPER = bytes(range(65, 91))
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -91,7 +94,7 @@ class Field:
 
     weights: np.ndarray
     pairs: np.ndarray
-    link: np.ndarray
+    slope: float
     intercept: float
 
 
@@ -175,23 +178,18 @@ def train_field(docs: list[tuple[np.ndarray, int]], l2: float = 1e-4, steps: int
     return theta[:width], theta[width:]
 
 
-def summary(text: str, weights: np.ndarray, pairs: np.ndarray) -> tuple[list[float], np.ndarray]:
-    """Of a text: the logit of its length-weighted marginal, its lines' mean log odds, its worst line's
-    share and its length; and its lines' marginals."""
+def summary(text: str, weights: np.ndarray, pairs: np.ndarray) -> tuple[float, np.ndarray]:
+    """Of a text: the logit of its length-weighted mean marginal, and its lines' marginals."""
     x, sizes = text_lines(text)
-    if not len(x):
-        return [0.0, 0.0, 0.0, 0.0, 1.0], np.zeros(0)
-    odds = with_neighbours(x) @ weights
-    good = forward_backward(odds, pairs)
-    mean = float(np.average(good, weights=sizes))
-    p = min(max(mean, 1e-4), 1 - 1e-4)
-    return [math.log(p / (1 - p)), float(np.clip(np.average(odds, weights=sizes), -20, 20)), float(sizes[good < 0.5].sum() / sizes.sum()), math.log(sizes.sum()) / 10, 0.0], good
+    good = forward_backward(with_neighbours(x) @ weights, pairs) if len(x) else np.zeros(0)
+    p = min(max(float(np.average(good, weights=sizes)) if len(x) else 0.0, 1e-4), 1 - 1e-4)
+    return math.log(p / (1 - p)), good
 
 
-def summaries_udf(weights: np.ndarray, pairs: np.ndarray):
-    @F.arrow_udf("array<double>")
+def logits_udf(weights: np.ndarray, pairs: np.ndarray):
+    @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([summary(t.as_py() or "", weights, pairs)[0] for t in texts], pa.list_(pa.float64()))
+        return pa.array([summary(t.as_py() or "", weights, pairs)[0] for t in texts], pa.float64())
 
     return of
 
@@ -201,7 +199,7 @@ def _flat_features(texts: pa.Array) -> pa.Array:
     return pa.array([text_lines(t.as_py() or "")[0].ravel() for t in texts], pa.list_(pa.float64()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train=None, max_fit: int = MAX_FIT) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", train=None, max_fit: int = MAX_FIT, max_lines: int = MAX_LINES) -> Field:
     """train: a condition on labels' ids of the rows to learn from (default: all). At most about
     max_fit documents, by a hash of the id, fit the field, and as many others the link."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
@@ -211,20 +209,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = with_labels(docs.select(id_col, text_col), drawn, id_col, label).withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(2)))
     sample = common.durable(rows, "labelled-sample", files=8)
-    found = sample.where("_part = 0").select(_flat_features(F.col(text_col)).alias("x"), "label_").toArrow()
+    short = F.size(F.split(F.col(text_col), "\n")) <= max_lines
+    found = sample.where(F.coalesce((F.col("_part") == 0) & short, F.lit(False))).select(_flat_features(F.col(text_col)).alias("x"), "label_").toArrow()
     lines = [np.array(x, float).reshape(-1, N_LINE) for x in found.column("x").to_pylist()]
     weights, pairs = train_field([(with_neighbours(x), y) for x, y in zip(lines, found.column("label_").to_pylist())])
-    found = sample.where("_part = 1").select(summaries_udf(weights, pairs)(F.col(text_col)).alias("x"), "label_").toArrow()
-    x = np.array(found.column("x").to_pylist(), float).reshape(-1, 5)
-    link, intercept = logistic(x, np.array(found.column("label_").to_pylist(), float))
-    return Field(weights, pairs, link, intercept)
+    found = sample.where("_part = 1").select(logits_udf(weights, pairs)(F.col(text_col)).alias("x"), "label_").toArrow()
+    slope, intercept = logistic(found.column("x").to_numpy().reshape(-1, 1), np.array(found.column("label_").to_pylist(), float))
+    return Field(weights, pairs, float(slope[0]), intercept)
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """docs with quality_score (0 to 1) and quality_predicted (1 from 0.5 on)."""
-    scored = docs.withColumn("_quality_x", summaries_udf(field.weights, field.pairs)(F.col(text_col)))
-    z = F.lit(field.intercept) + sum((F.col("_quality_x")[k] * float(w) for k, w in enumerate(field.link)), F.lit(0.0))
-    scored = scored.withColumn("quality_score", 1 / (1 + F.exp(-z))).drop("_quality_x")
+    z = F.lit(field.intercept) + field.slope * logits_udf(field.weights, field.pairs)(F.col(text_col))
+    scored = docs.withColumn("quality_score", 1 / (1 + F.exp(-z)))
     return scored.withColumn("quality_predicted", (F.col("quality_score") >= 0.5).cast("int"))
 
 

@@ -168,6 +168,35 @@ def test_quality_held_out_accuracy(spark, tmp_path):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
 
 
+def test_quality_scores_against_plain_python(spark):
+    rnd = random.Random(3)
+    docs = []
+    for i in range(120):
+        line = lambda: " ".join("".join(rnd.choices("aeinrst", k=rnd.randrange(2, 8))) for _ in range(rnd.randrange(1, 12)))
+        docs.append((i, "\n".join(line().upper() + "!! #" if i % 3 == 0 else line() + "." for _ in range(rnd.randrange(1, 7)))))
+    docs += [(200, None), (201, " \n"), (202, "\n".join(["line of text"] * 500))]
+    labels = [(i, int(i % 3 > 0)) for i, _ in docs]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, _quality_x int")
+    field = quality_crf.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    for r in quality_crf.score(d, field).collect():
+        lines = [x for x in (r.text or "").split("\n") if x.split()]
+        rows = [quality_crf.line_features(x.encode(), x.encode().split(), {y.encode() for y in lines[:k]}) for k, x in enumerate(lines)]
+        none, n = [0.0] * quality_crf.N_LINE, len(rows)
+        odds = [sum(a * b for a, b in zip(rows[k] + (rows[k - 1] if k else none) + (rows[k + 1] if k + 1 < n else none), field.weights)) for k in range(n)]
+        emit, step = [(1.0, math.exp(o)) for o in odds], np.exp(field.pairs.reshape(2, 2))
+        ahead, back = [], [(1.0, 1.0)]
+        for k in range(n):
+            now = [emit[k][y] * (sum(ahead[-1][x] * step[x][y] for x in (0, 1)) if k else 1) for y in (0, 1)]
+            ahead.append([v / sum(now) for v in now])
+        for k in range(n - 1, 0, -1):
+            now = [sum(step[x][y] * emit[k][y] * back[0][y] for y in (0, 1)) for x in (0, 1)]
+            back.insert(0, [v / sum(now) for v in now])
+        good = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back)] if n else []
+        sizes = [sum(len(w.encode()) for w in x.split()) for x in lines]
+        p = min(max(sum(g * s for g, s in zip(good, sizes)) / max(1, sum(sizes)), 1e-4), 1 - 1e-4)
+        assert math.isclose(r.quality_score, 1 / (1 + math.exp(-field.intercept - field.slope * math.log(p / (1 - p)))), abs_tol=1e-6)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     field = quality_crf.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, quality int"))
