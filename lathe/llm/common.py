@@ -74,11 +74,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataF
     than an even task's share of rows are split by salts, and their row of right is repeated for each;
     there are at most as many such keys as tasks, so their list is broadcast."""
     limit = max(256, rows // partitions(left.sparkSession))
-    hot = left.groupBy(F.col(key).alias("_hot")).agg(F.ceil(F.count("*") / limit).cast("int").alias("_ways")).where("_ways > 1")
-    ways = F.coalesce("_ways", F.lit(1))
-    one = left.join(F.broadcast(hot), left[key] == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), ways).cast("int"))
-    two = right.join(F.broadcast(hot), right[key] == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
-    return one.drop("_hot", "_ways").join(two.drop("_hot", "_ways"), [key, "_salt"]).drop("_salt")
+    hot = left.groupBy(F.col(key).alias("_spread_hot")).agg(F.ceil(F.count("*") / limit).cast("int").alias("_spread_ways")).where("_spread_ways > 1")
+    ways = F.coalesce("_spread_ways", F.lit(1))
+    one = left.join(F.broadcast(hot), left[key] == F.col("_spread_hot"), "left").withColumn("_spread_salt", F.pmod(F.xxhash64(*left.columns), ways).cast("int"))
+    two = right.join(F.broadcast(hot), right[key] == F.col("_spread_hot"), "left").withColumn("_spread_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return one.drop("_spread_hot", "_spread_ways").join(two.drop("_spread_hot", "_spread_ways"), [key, "_spread_salt"]).drop("_spread_salt")
 
 
 def running_offsets(counts: DataFrame, keys: list[str], part: str, count: str, out: str) -> DataFrame:

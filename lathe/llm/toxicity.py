@@ -54,11 +54,11 @@ MAX_CALIBRATION = 20_000
 #: Rejected texts, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
 BROADCAST_REJECTED = 1_000_000
 #: Characters of the texts that one chunk holds (a longer text is a chunk of its own), and that one bucket serves.
-CHUNK_CHARS = 4_000_000
-BUCKET_CHARS = 32_000_000
+CHUNK_CHARS = 2_000_000
+BUCKET_CHARS = 16_000_000
 _WORDS = re.compile(r"[^\W_]+")
-_FLUSH = 200_000
-_KEYS_KEPT = 300_000
+_FLUSH = 100_000
+_KEYS_KEPT = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -249,13 +249,14 @@ def _answer(sent: pa.Table, own: pa.Table) -> pa.Table:
     at = np.argsort(keys)
     keys, values = keys[at], values[at]
     out = []
-    for r in sent.to_pylist():
-        if r["idx"] is None:
-            out.append((r["chunk"], None, None, r["keys"], r["sizes"], r["sums"], r["open"]))
-            continue
-        known, found = _look_up(keys, values, np.frombuffer(r["hashes"], np.int64))
-        if known.any():
-            out.append((r["chunk"], np.frombuffer(r["idx"], np.int32)[known].tobytes(), found.tobytes(), None, None, None, None))
+    for batch in sent.to_batches(max_chunksize=64):
+        for r in batch.to_pylist():
+            if r["idx"] is None:
+                out.append((r["chunk"], None, None, r["keys"], r["sizes"], r["sums"], r["open"]))
+                continue
+            known, found = _look_up(keys, values, np.frombuffer(r["hashes"], np.int64))
+            if known.any():
+                out.append((r["chunk"], np.frombuffer(r["idx"], np.int32)[known].tobytes(), found.tobytes(), None, None, None, None))
     names = ["chunk", "idx", "found", "keys", "sizes", "sums", "open"]
     return pa.table({n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names)})
 
@@ -328,11 +329,10 @@ def _judged(found: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with toxicity_score (0 to 1) and toxicity_predicted (1 from 0.5 on)."""
-    found = _judged(means(docs, model, text_col), model)
+    found = _judged(means(docs, model, text_col), model).select(F.struct("toxicity_k1", "toxicity_k2").alias("toxicity_key"), "toxicity_score", "toxicity_predicted")
     k1, k2 = text_keys(F.col(text_col))
-    keyed = docs.withColumns({"toxicity_1": k1, "toxicity_2": k2})
-    joined = keyed.join(found, (F.col("toxicity_1") == F.col("toxicity_k1")) & (F.col("toxicity_2") == F.col("toxicity_k2")))
-    return joined.select(*docs.columns, "toxicity_score", "toxicity_predicted")
+    keyed = docs.withColumn("toxicity_key", F.struct(k1.alias("toxicity_k1"), k2.alias("toxicity_k2")))
+    return common.spread_join(keyed, found, "toxicity_key", docs.count()).select(*docs.columns, "toxicity_score", "toxicity_predicted")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
