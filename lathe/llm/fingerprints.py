@@ -4,11 +4,13 @@ Fingerprint: terms are shingles of three words (fewer words: all of them); a ter
 weighs 1 + ln n; each term's 128-bit hash votes for and against every bit with its weight, and a bit
 is set if the votes for it exceed half of the weight. Texts without words have fingerprint zero.
 
-Search: the bits are cut into radius + 1 blocks. Fingerprints at most `radius` bits apart agree in at
-least one block, so for each block there is a table of the fingerprints with that block moved to the
-front, as the key of an equi-join. A pair that meets in several tables is counted in the first of
-them, which its exclusive or shows, and is verified by its distance. Equal fingerprints are one entry
-of the tables with a count, so copies make no pairs.
+Search: the bits are cut into blocks, and for each block there is a table of the fingerprints with that block
+moved to the front, as the key of an equi-join. A query looks up its own block and all blocks that differ from
+it in at most FLIPS bits. With more than radius / (FLIPS + 1) blocks, two fingerprints at most `radius`
+bits apart differ in at most FLIPS bits of some block, so all are found. A pair that meets in several tables
+counts in the first of them only, and is verified by its distance. Equal fingerprints are one entry of the
+tables with a count, so copies make no pairs. Blocks that very many fingerprints share are cut into slices,
+to each of which their queries go; matches are counted in the tasks, so no pair becomes a row.
 
 Edge cases: null text is the empty text; rows with equal ids are ordered by a hash of their texts;
 null ids come last; with one row, it is its own next document; empty tables give no rows; extra
@@ -17,17 +19,26 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lathe.llm import common
 
 BITS = 128
 WORDS = BITS // 64
 SHINGLE = 3
-RADIUS = 3
+RADIUS = 17
+FLIPS = 2
+#: Entries of one block's key that a task gets, at least, before the key is cut into slices; entries of a bucket, about.
+SLICE = 20_000
+BUCKET = 1_000_000
+_PAIRS = 2_000_000
 _WORDS_KEPT = 300_000
 
 
@@ -109,36 +120,116 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / F.lit(float(BITS))
 
 
-def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fps, queries: one column fp of hexadecimal digits each. Returns fp, n_near, n_near_rows for
-    each distinct query: how many other distinct fingerprints of fps are within `radius`, and their rows."""
-    blocks = np.array_split(np.arange(BITS), radius + 1)
-    words = WORDS
-
-    def masks(block: np.ndarray) -> list[int]:
-        """The block's bits in each word, as signed longs."""
-        out = [sum(1 << (63 - (int(b) - 64 * k)) for b in block if 64 * k <= b < 64 * k + 64) for k in range(words)]
-        return [m - (1 << 64) if m >> 63 else m for m in out]
-
-    def tables(df: DataFrame, prefix: str) -> DataFrame:
-        parts = [_word(F.col("fp"), k).alias(f"{prefix}{k}") for k in range(words)]
-        keys = [F.struct(F.lit(j).alias("t"), F.xxhash64(*(F.col(f"{prefix}{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(masks(block)) if m)).alias("key")) for j, block in enumerate(blocks)]
-        return df.select("*", *parts).select("*", F.explode(F.array(*keys)).alias("e")).select("*", "e.*").drop("e")
-
-    def apart(k: int) -> Column:
-        return F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))
-
-    entries = tables(fps.groupBy("fp").agg(F.count("*").alias("copies")), "p").drop("fp")
-    asked = tables(queries.select("fp").distinct(), "q")
-    bits = sum((F.bit_count(apart(k)) for k in range(1, words)), F.bit_count(apart(0)))
-    first = F.lit(0)  # the first table in which a pair meets
-    for j in reversed(range(len(blocks))):
-        same = sum((apart(k).bitwiseAND(F.lit(m)) for k, m in enumerate(masks(blocks[j])) if m), F.lit(0)) == 0
-        first = F.when(same, F.lit(j)).otherwise(first)
-    pairs = asked.join(entries.withColumnsRenamed({"t": "pt", "key": "pkey"}), (F.col("t") == F.col("pt")) & (F.col("key") == F.col("pkey")) & (bits <= radius) & (bits > 0) & (first == F.col("t")))
-    near = pairs.groupBy("fp").agg(F.count("*").alias("n_near"), F.sum("copies").alias("n_near_rows"))
+def _blocks(radius: int, flips: int) -> list[list[int]]:
+    """Masks of the blocks, a signed long for each word."""
+    out = []
+    for block in np.array_split(np.arange(BITS), radius // (flips + 1) + 1):
+        words = [sum(1 << (63 - (int(b) - 64 * k)) for b in block if 64 * k <= b < 64 * k + 64) for k in range(WORDS)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in words])
+    return out
+
+
+def _flipped(mask: list[int], flips: int) -> list[list[int]]:
+    """All ways to flip at most `flips` bits of a block, a signed long for each word."""
+    bits = [(k, b) for k in range(WORDS) for b in range(64) if mask[k] >> b & 1]
+    out = []
+    for chosen in (c for n in range(flips + 1) for c in combinations(bits, n)):
+        words = [sum(1 << b for j, b in chosen if j == k) for k in range(WORDS)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in words])
+    return out
+
+
+def within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, flips: int = FLIPS) -> DataFrame:
+    """fps: fp (hexadecimal digits) and, optionally, id (long). queries: fp. Returns fp, n_near, n_near_rows,
+    near_bits, near_id for each distinct query: how many other distinct fingerprints of fps are within
+    `radius`, their rows, and the distance and least id of the nearest (null where there is none)."""
+    spark, blocks = fps.sparkSession, _blocks(radius, flips)
+    words = [f"w{k}" for k in range(WORDS)]
+    tag = F.min("id") if "id" in fps.columns else F.lit(None).cast("long")
+    entries = fps.groupBy("fp").agg(F.count("*").alias("copies"), tag.alias("id"))
+    asked = queries.select("fp").distinct()
+    of = lambda df, *more: df.select(*(_word(F.col("fp"), k).alias(w) for k, w in enumerate(words)), *more)
+
+    masks = np.array(blocks, np.int64).view(np.uint64)
+    flipped = [np.array(_flipped(block, flips), np.int64).view(np.uint64) for block in blocks]
+
+    def keyed(df: DataFrame, ways: list[np.ndarray]) -> DataFrame:
+        """df's rows for each table and each way to flip bits of its block, with the key of the block."""
+        names = [*df.columns, "t", "key"]
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    own = np.stack([part.column(w).to_numpy(zero_copy_only=False) for w in words]).view(np.uint64)
+                    for t, flips_ in enumerate(ways):
+                        key = np.full((len(flips_), part.num_rows), t + 1, np.uint64)
+                        for k in range(WORDS):
+                            key = mixed(key * np.uint64(3) + ((own[k][None] ^ flips_[:, k : k + 1]) & masks[t][k]))
+                        again = pa.array(np.tile(np.arange(part.num_rows), len(flips_)))
+                        columns = [c.take(again) for c in part.columns] + [pa.array(np.full(key.size, t, np.int32)), pa.array(key.view(np.int64).ravel())]
+                        yield pa.record_batch(columns, names)
+
+        return df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField("t", T.IntegerType()), T.StructField("key", T.LongType())]))
+
+    tables = keyed(of(entries, "copies", "id"), [np.zeros((1, WORDS), np.uint64)] * len(blocks))
+    probes = keyed(of(asked), flipped)
+    n = entries.count() * len(blocks)
+    limit = max(SLICE, n // (8 * common.partitions(spark)))
+    hot = tables.groupBy(F.col("key").alias("_hot")).agg(F.ceil(F.count("*") / limit).cast("int").alias("_ways")).where("_ways > 1")
+    ways = F.coalesce("_ways", F.lit(1))
+    tables = tables.join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left").withColumn("slice", F.pmod(F.xxhash64(*words), ways))
+    probes = probes.join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left").withColumn("slice", F.explode(F.sequence(F.lit(0), ways - 1)))
+    buckets = max(common.partitions(spark), n // BUCKET + 1)
+    placed = lambda df, *cols: df.withColumn("key", F.xxhash64("key", F.col("slice").cast("long"))).select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "t", *words, *cols)
+    schema = ", ".join(f"{w} long" for w in words) + ", n long, copies long, bits int, id long"
+    met = placed(probes).groupBy("bucket").cogroup(placed(tables, "copies", "id").groupBy("bucket")).applyInArrow(lambda a, b: _matches(a, b, blocks, radius, flips), schema)
+    nearest = F.min(F.struct("bits", "id"))
+    near = met.groupBy(*words).agg(F.sum("n").alias("n_near"), F.sum("copies").alias("n_near_rows"), nearest.alias("nearest"))
     zero = F.lit(0).cast("long")
-    return queries.select("fp").distinct().join(near, "fp", "left").select("fp", F.coalesce("n_near", zero).alias("n_near"), F.coalesce("n_near_rows", zero).alias("n_near_rows"))
+    own = of(asked, "fp").join(near, words, "left")
+    return own.select("fp", F.coalesce("n_near", zero).alias("n_near"), F.coalesce("n_near_rows", zero).alias("n_near_rows"), F.col("nearest.bits").alias("near_bits"), F.col("nearest.id").alias("near_id"))
+
+
+def _matches(probes: pa.Table, tables: pa.Table, blocks: list[list[int]], radius: int, flips: int) -> pa.Table:
+    """For each query of a bucket that has a match there: how many, and the nearest."""
+    words = [f"w{k}" for k in range(WORDS)]
+    columns = lambda t, names: [t.column(c).to_numpy(zero_copy_only=False) for c in names]
+    key, *own = columns(tables, ["key", *words])
+    copies, ids = tables.column("copies").to_numpy(), tables.column("id").to_pylist()
+    order = np.argsort(key, kind="stable")
+    key, own, copies = key[order], [w[order] for w in own], copies[order]
+    ids = np.array([np.iinfo(np.int64).max if ids[k] is None else ids[k] for k in order], np.int64)
+    asked, table, *query = columns(probes, ["key", "t", *words])
+    low, high = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+    hit = np.flatnonzero(high > low)
+    masks = np.array(blocks, np.int64)
+    found = []
+    while len(hit):
+        take = max(1, int(np.searchsorted(np.cumsum((high - low)[hit]), _PAIRS, "right")))
+        part, hit = hit[:take], hit[take:]
+        size = (high - low)[part]
+        at = np.repeat(low[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        who = np.repeat(part, size)
+        apart = [q[who] ^ w[at] for q, w in zip(query, own)]
+        bits = sum(np.bitwise_count(x.view(np.uint64)).astype(np.int32) for x in apart)
+        ok = (bits > 0) & (bits <= radius)
+        who, at, bits, apart = who[ok], at[ok], bits[ok], [x[ok] for x in apart]
+        first = np.ones(len(who), bool)
+        for t in range(len(blocks)):
+            differ = sum(np.bitwise_count((x & masks[t][k]).view(np.uint64)).astype(np.int32) for k, x in enumerate(apart))
+            first &= ~((differ <= flips) & (t < table[who]))
+        who, at, bits = who[first], at[first], bits[first]
+        found.append(np.stack([*(q[who] for q in query), copies[at], bits, ids[at]], axis=1))
+    rows = np.concatenate(found) if found else np.empty((0, WORDS + 3), np.int64)
+    rows = rows[np.lexsort(tuple(rows[:, k] for k in (WORDS + 2, WORDS + 1, *range(WORDS))))]
+    starts = np.flatnonzero(np.r_[True, (np.diff(rows[:, :WORDS], axis=0) != 0).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+    out = {w: rows[starts, k] for k, w in enumerate(words)}
+    out["n"] = np.diff(np.r_[starts, len(rows)])
+    out["copies"] = np.add.reduceat(rows[:, WORDS], starts) if len(starts) else np.empty(0, np.int64)
+    out["bits"] = rows[starts, WORDS + 1].astype(np.int32)
+    out["id"] = pa.array(rows[starts, WORDS + 2], mask=rows[starts, WORDS + 2] == np.iinfo(np.int64).max)
+    return pa.table({k: pa.array(v) for k, v in out.items()})
 
 
 def with_next(docs: DataFrame, id_col: str, tie_on: str, derive: dict[str, Column], buckets: int | None = None) -> DataFrame:
@@ -212,7 +303,8 @@ def spliced(own: Column, following: Column, shingle: int = SHINGLE) -> Column:
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and for ids divisible by 50 how many
-    other fingerprints of the table are within 3 bits (n_near; null for the rest)."""
+    other fingerprints of the table are within RADIUS bits, and the distance and id of the nearest of them
+    (n_near, near_bits, near_id; null for the rest)."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = with_next(docs, "doc_id", "text", {"n": F.length("text").cast("long"), "r": packed(F.col("text"))})
     both = both.select("doc_id", "n", F.col("r.fp").alias("fp"), F.col("next_r.fp").alias("next_fp"), spliced(F.col("r.packed"), F.col("next_r.packed")).alias("e"))
@@ -222,8 +314,9 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.withColumns({c: digits(c) for c in ("fp", "next_fp", "edited_fp")})
     chosen = F.coalesce(F.pmod("doc_id", F.lit(50)) == 0, F.lit(False))
     asked = both.where(chosen)
-    near = within(both.select("fp"), asked.select("fp")).select(F.col("fp").alias("_fp"), "n_near")
-    found = asked.join(near, asked["fp"] == near["_fp"], "left").drop("_fp").unionByName(both.where(~chosen).withColumn("n_near", F.lit(None).cast("long")))
+    near = within(both.select("fp", F.col("doc_id").cast("long").alias("id")), asked.select("fp")).select(F.col("fp").alias("_fp"), "n_near", "near_bits", "near_id")
+    none = {"n_near": F.lit(None).cast("long"), "near_bits": F.lit(None).cast("int"), "near_id": F.lit(None).cast("long")}
+    found = asked.join(near, asked["fp"] == near["_fp"], "left").drop("_fp").unionByName(both.where(~chosen).withColumns(none))
     return found.select(
         "doc_id",
         F.col("n").alias("n_chars"),
@@ -233,4 +326,6 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "n_near",
+        "near_bits",
+        "near_id",
     )

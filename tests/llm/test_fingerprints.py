@@ -20,7 +20,7 @@ def plain(rows):
         following = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
         e = fp.weighted_simhash(edited).hex()
-        others = {h for h in hexed.values() if 0 < (int(h, 16) ^ int(hexed[t], 16)).bit_count() <= 3}
+        others = {h for h in hexed.values() if 0 < (int(h, 16) ^ int(hexed[t], 16)).bit_count() <= fp.RADIUS}
         out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed[t], e, near(hexed[t], e), near(hexed[t], hexed[following]), len(others) if i % 50 == 0 else None)
     return out
 
@@ -50,7 +50,7 @@ def test_query_against_plain_loops(spark, tmp_path, buckets):
     assert got == plain(rows)
 
 
-def test_search_finds_all_within_the_radius(spark):
+def test_search_finds_all_within_the_radius(spark, monkeypatch):
     rnd = random.Random(8)
     values = [rnd.getrandbits(128) for _ in range(40)]
     for _ in range(300):
@@ -59,8 +59,16 @@ def test_search_finds_all_within_the_radius(spark):
             x ^= 1 << b
         values.append(x)
     df = spark.createDataFrame([(f"{v:032x}",) for v in values + values[:5]], "fp string")
-    for radius in (0, 3, 6):
-        got = {r.fp: (r.n_near, r.n_near_rows) for r in fp.within(df, df.limit(200), radius).collect()}
+    df = df.withColumn("id", F.xxhash64("fp"))
+    ids = {r.fp: r.id for r in df.collect()}
+    for radius, flips in ((0, 0), (3, 0), (6, 1), (17, 2)):
+        monkeypatch.setattr(fp, "SLICE", 7 if radius == 6 else 20_000)
+        monkeypatch.setattr(fp, "_PAIRS", 50 if radius == 3 else 2_000_000)
+        rows = fp.within(df, df.limit(200), radius, flips).collect()
+        got = {r.fp: (r.n_near, r.n_near_rows) for r in rows}
+        for r in rows:
+            near = [((v ^ int(r.fp, 16)).bit_count(), ids[f"{v:032x}"]) for v in set(values) if 0 < (v ^ int(r.fp, 16)).bit_count() <= radius]
+            assert (r.near_bits, r.near_id) == min(near, default=(None, None))
         distinct = {v: values.count(v) + values[:5].count(v) for v in values}
         for h, found in got.items():
             hits = [v for v in distinct if 0 < (v ^ int(h, 16)).bit_count() <= radius]
