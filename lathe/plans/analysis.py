@@ -72,7 +72,10 @@ def prepare(data: Dataset, options: Options, known: Profile | None = None) -> Pr
     check_target(t, data.train, data.validation, data.test)
     frames = {"train": data.train, "validation": data.validation, "test": data.test}
     frames = {k: None if df is None else drop_missing_target(normalized(df), t) for k, df in frames.items()}
-    main = frames["train"].withColumn(ROW_KEY, F.monotonically_increasing_id()).persist()
+    main = frames["train"].withColumn(ROW_KEY, F.monotonically_increasing_id())
+    if main.sparkSession.conf.get("spark.checkpoint.dir", None):
+        main = main.checkpoint()  # keys stay the same when an executor is lost; without a shared folder, a cache has to do
+    main = main.persist()
     p = known or profile(main.drop(ROW_KEY), t)
     ids = ids_to_drop(p, options)
     p = p.without(ids)
