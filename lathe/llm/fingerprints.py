@@ -39,7 +39,7 @@ FLIPS = 2
 SLICE = 20_000
 BUCKET = 1_000_000
 _PAIRS = 2_000_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 
 class _WordHash(dict):

@@ -54,11 +54,11 @@ MAX_CALIBRATION = 20_000
 #: Rejected texts, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
 BROADCAST_REJECTED = 1_000_000
 #: Characters of the texts that one chunk holds (a longer text is a chunk of its own), and that one bucket serves.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 BUCKET_CHARS = 16_000_000
 _WORDS = re.compile(r"[^\W_]+")
 _FLUSH = 100_000
-_KEYS_KEPT = 100_000
+_KEYS_KEPT = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -106,6 +106,7 @@ def word_counts(labelled: DataFrame, text_col: str) -> DataFrame:
                     seen.update(zip(words, before.tolist()))
                 if len(seen) > _FLUSH:
                     yield flush()
+        _WORD_HASH.clear()  # workers live on for other stages
         yield flush()
 
     found = labelled.select(text_col, "label_").mapInArrow(pairs, "word string, before int").distinct()
@@ -241,6 +242,8 @@ def _send(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray]
             rows.append((int(home[at[0]]), chunk, at.astype(np.int32).tobytes(), distinct[at].tobytes(), None, None, None, None))
         kinds = [pa.int32()] + [pa.binary()] * 7
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    _WORD_HASH.clear()
+    _STEM_HASH.clear()
 
 
 def _answer(sent: pa.Table, own: pa.Table) -> pa.Table:
