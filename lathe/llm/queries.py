@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import bpe, chat, fingerprints, licenses, neardup, packing, quality_crf, quality_rules, secrets, toxicity
+from lathe.llm import bpe, chat, fingerprints, licenses, neardup, packing, quality_crf, quality_rules, secrets, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_chat_format": chat.op9_chat_format,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op8_secret_scan": secrets.ORACLE_SQL,
         "op9_chat_format": chat.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
