@@ -92,13 +92,14 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
     coded = words.dictionary_encode()
-    one_by_one = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    one_by_one = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
     return one_by_one[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of start mark, words and end of each text, one after another, and where each text begins (and the last ends)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    own = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")  # ascii_lower misreads slices
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
     bounds = split.offsets.to_numpy()
     words = split.flatten()
     full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)

@@ -5,7 +5,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+import xxhash
 
 from lathe.llm import language_model as L
 from tests.oracle import DIR
@@ -100,6 +102,14 @@ def test_chunks_of_texts_dont_change_scores(spark, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_tokens_of_slices():
+    texts = pa.array([f"Word{k} ÄB\x0b c{'D' * k}" for k in range(200)])
+    for a, n in ((0, 200), (37, 100), (199, 1), (200, 0)):
+        seq, begins = L.tokens(texts.slice(a, n))
+        want = [[xxhash.xxh64_intdigest(w.encode()) for w in words_of(t.as_py())] for t in texts.slice(a, n)]
+        assert [seq[b + 1 : e - 1].tolist() for b, e in zip(begins, begins[1:])] == want
+
+
 def test_no_rows_and_no_training_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = L.fit(none)
