@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import bpe, chat, fingerprints, language_model, licenses, neardup, packing, quality_crf, quality_rules, secrets, toxicity, vector_codes
+from lathe.llm import bpe, chat, conversation_repair, fingerprints, language_model, licenses, neardup, packing, quality_crf, quality_rules, secrets, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_chat_format": chat.op9_chat_format,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_language_model": language_model.op12_language_model,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
