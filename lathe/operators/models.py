@@ -1,6 +1,7 @@
 """Regressors. All have fit(df) -> model with transform(df) -> df + `prediction`, and `importances`.
 
-df has `features` and `label`. The linear family maps penalties as stated for unscaled features onto
+df has `features` and `label`. The linear family is solved from sums of products (operators/grams.py) up to
+grams.WIDEST features; beyond, penalties as stated for unscaled features are mapped onto
 Spark's objective, which divides the squared loss by the spread of the label.
 """
 
@@ -14,10 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import regression as R
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathe.operators import grams
 from lathe.operators.features import FEATURES, LABEL
+from lathe.operators.grams import Moments
+from lathe.operators.kernel import KernelModel, KernelSVR  # noqa: F401
+from lathe.operators.neighbours import Neighbours, NeighboursModel  # noqa: F401
 
 PREDICTION = "prediction"
 
@@ -52,17 +58,24 @@ class Linear:
     ridge: bool = False
     max_iter: int = 10_000
 
-    def fit(self, df: DataFrame) -> Fitted:
+    def fit(self, df: DataFrame, known: Moments | None = None) -> Fitted:
+        """known: the moments of df's rows, if there are any yet; else they take one scan."""
+        if known is None and not grams.fits(df):
+            return self._fit_in_steps(df)
+        w, a = self.solution(known or grams.fold_moments(df, []).whole)
+        return Fitted(grams.LinearModel(DenseVector(w), a))
+
+    def solution(self, m: Moments, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        return grams.solve(m, alpha=self.alpha, l1_ratio=self.l1_ratio, ridge=self.ridge, start=start, max_iter=self.max_iter)
+
+    def _fit_in_steps(self, df: DataFrame) -> Fitted:
+        """Many features: gradients over all rows, again and again."""
         lr = R.LinearRegression(featuresCol=FEATURES, labelCol=LABEL, standardization=False, maxIter=self.max_iter, tol=1e-9)
-        if not self.alpha:
-            return Fitted(lr.setRegParam(0.0).setSolver("auto").fit(df))
-        n, width, pop, sample = df.agg(F.count("*"), F.max(F.size(vector_to_array(FEATURES))), F.stddev_pop(LABEL), F.stddev_samp(LABEL)).first()
-        if not pop:
+        n, pop, sample = df.agg(F.count("*"), F.stddev_pop(LABEL), F.stddev_samp(LABEL)).first()
+        if not self.alpha or not pop:
             return Fitted(lr.setRegParam(0.0).setSolver("auto").fit(df))
         if self.ridge:
-            small = width <= 4096
-            lam = self.alpha / n * (pop if small else sample)
-            return Fitted(lr.setElasticNetParam(0.0).setRegParam(lam).setSolver("normal" if small else "l-bfgs").fit(df))
+            return Fitted(lr.setElasticNetParam(0.0).setRegParam(self.alpha / n * sample).setSolver("l-bfgs").fit(df))
         l1, l2 = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio)
         lam = l1 + l2 * sample
         return Fitted(lr.setElasticNetParam(l1 / lam).setRegParam(lam).setSolver("l-bfgs").fit(df))
@@ -106,73 +119,9 @@ class Boosting:
 
 
 @dataclass(frozen=True)
-class Neighbours:
-    """The mean label of the k nearest training rows by Euclidean distance, exactly."""
-
-    n_neighbors: int = 5
-    block_rows: int = 4096
-
-    def fit(self, df: DataFrame) -> NeighboursModel:
-        blocks = _blocks(df.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).alias("y")), self.block_rows)
-        return NeighboursModel(blocks.persist(), self.n_neighbors, self.block_rows)
-
-
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (x array, y) packed into blocks: n, x and y as bytes of doubles."""
-
-    def pack(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at : at + size]
-                x = np.array(part["x"].tolist(), float).reshape(len(part), -1)
-                yield pd.DataFrame({"n": [len(part)], "x": [x.tobytes()], "y": [np.asarray(part["y"], float).tobytes()]})
-
-    return rows.mapInPandas(pack, "n long, x binary, y binary")
-
-
-@dataclass
-class NeighboursModel:
-    """Query rows go against all training rows block by block; each pair of blocks keeps the k nearest of
-    each query row, and these are merged by row. Equal distances are taken by label."""
-
-    blocks: DataFrame
-    k: int
-    block_rows: int
-    importances: None = None
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        k, size = self.k, self.block_rows
-        keyed = df.withColumn("_row", F.xxhash64(vector_to_array(FEATURES)))
-        wanted = keyed.select("_row", vector_to_array(FEATURES).alias("x")).dropDuplicates(["_row"])
-
-        def pack(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), size):
-                    part = pdf.iloc[at : at + size]
-                    yield pd.DataFrame({"rows": [np.asarray(part["_row"], np.int64).tobytes()], "q": [np.array(part["x"].tolist(), float).tobytes()]})
-
-        def nearest(batches):
-            for pdf in batches:
-                for rows, q, n, x, y in zip(pdf["rows"], pdf["q"], pdf["n"], pdf["x"], pdf["y"]):
-                    ids = np.frombuffer(rows, np.int64)
-                    q, x, y = np.frombuffer(q).reshape(len(ids), -1), np.frombuffer(x).reshape(n, -1), np.frombuffer(y)
-                    out = []
-                    for at in range(0, len(ids), 256):
-                        d = ((q[at : at + 256, None, :] - x[None]) ** 2).sum(2) if q.shape[1] <= 8 else np.maximum((q[at : at + 256] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q[at : at + 256] @ x.T, 0)
-                        best = np.lexsort((np.broadcast_to(y, d.shape), d), axis=1)[:, :k]
-                        out.append(pd.DataFrame({"_row": np.repeat(ids[at : at + 256], best.shape[1]), "d": np.take_along_axis(d, best, 1).ravel(), "y": y[best].ravel()}))
-                    yield pd.concat(out)
-
-        queries = wanted.mapInPandas(pack, "rows binary, q binary")
-        found = queries.crossJoin(self.blocks).mapInPandas(nearest, "_row long, d double, y double")
-        best = found.groupBy("_row").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "y"))), 1, k).alias("b"))
-        mean = F.aggregate("b", F.lit(0.0), lambda a, x: a + x["y"]) / F.size("b")
-        return keyed.join(best.select("_row", mean.alias(PREDICTION)), "_row").drop("_row")
-
-
-@dataclass(frozen=True)
-class KernelSVR:
-    """Epsilon-insensitive regression with a Gaussian kernel, gamma = 1 / (width * variance of all entries).
+class FourierSVR:
+    """Epsilon-insensitive regression with a Gaussian kernel, gamma = 1 / (width * variance of all entries), for any
+    number of rows. KernelSVR (operators/kernel.py) is exact.
 
     The kernel is approximated by random Fourier features (Rahimi and Recht, 2007), and the primal
     problem is solved by gradient steps whose sums run over all partitions; memory doesn't grow with rows."""
@@ -183,7 +132,7 @@ class KernelSVR:
     steps: int = 60
     seed: int = 42
 
-    def fit(self, df: DataFrame) -> KernelModel:
+    def fit(self, df: DataFrame) -> FourierModel:
         rows = df.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).alias("y"))
         width = len(rows.first()["x"])
         spread = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
@@ -198,7 +147,7 @@ class KernelSVR:
             theta = _minimize(lambda t: self._loss(cached, w, phase, t), theta, self.steps)
         finally:
             cached.unpersist()
-        return KernelModel(w, phase, theta)
+        return FourierModel(w, phase, theta)
 
     def _loss(self, rows: DataFrame, w: np.ndarray, phase: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
         eps, soft, m = self.epsilon, 0.05 * self.epsilon + 1e-12, self.components
@@ -262,7 +211,7 @@ def _minimize(f, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
 
 
 @dataclass
-class KernelModel:
+class FourierModel:
     w: np.ndarray
     phase: np.ndarray
     theta: np.ndarray

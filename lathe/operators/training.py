@@ -5,17 +5,23 @@ from __future__ import annotations
 import itertools
 import logging
 import math
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lathe.functions.stats import regression_metrics
+from lathe.operators import grams, selection
 from lathe.operators.features import LABEL
-from lathe.operators.models import GRIDS, PREDICTION, with_params
+from lathe.operators.grams import FoldMoments, Moments
+from lathe.operators.models import GRIDS, PREDICTION, Linear, with_params
 
 log = logging.getLogger(__name__)
 METRICS = ("mae", "rmse", "mse", "r2", "median_ae", "mape_pct")
@@ -47,10 +53,25 @@ class ModelResult:
     best_params: dict[str, Any] | None = None
 
 
-def evaluate(predictions: DataFrame, label: str = LABEL, by: list[str] | None = None) -> DataFrame:
-    """Metrics of (label, prediction), one row or one for each group."""
+def evaluate(predictions: DataFrame, label: str = LABEL, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Metrics of (label, prediction), one row or one for each group. rows: how many there are, if that is known. Few
+    take one aggregate; else the median error comes from refined histograms (operators/selection.py), as an aggregate
+    would gather a group's errors in one task."""
+    by = list(by or [])
     m = regression_metrics(F.col(label), F.col(PREDICTION))
-    return predictions.groupBy(*(by or [])).agg(*(m[k].alias(k) for k in METRICS))
+    if rows is not None and rows <= selection.LIMIT:
+        return predictions.groupBy(*by).agg(*(m[k].alias(k) for k in METRICS))
+    error = F.abs(F.col(label) - F.col(PREDICTION))
+    kept = predictions.select(*by, label, PREDICTION).persist(StorageLevel.DISK_ONLY)
+    try:
+        medians = selection.group_medians(kept, by, error, "median_ae")
+        others = kept.groupBy(*by).agg(*(m[k].alias(k) for k in METRICS if k != "median_ae"))
+        # a row a group, and the rows behind them are released here: so both are read now
+        schema = T.StructType([*others.schema.fields, T.StructField("median_ae", T.DoubleType())])
+        known = {tuple(r[c] for c in by): r["median_ae"] for r in medians.collect()}
+        return predictions.sparkSession.createDataFrame([(*r, known.get(tuple(r[c] for c in by))) for r in others.collect()], schema).select(*by, *METRICS)
+    finally:
+        kept.unpersist()
 
 
 def original_units(df: DataFrame, transform: str) -> DataFrame:
@@ -65,58 +86,99 @@ def grid_of(name: str) -> list[dict[str, Any]]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())] if grid else []
 
 
-def cross_validate(model: Any, train: DataFrame, folds: Folds) -> list[dict[str, float]]:
-    """R2 and RMSE of each fold from one fit each."""
-    out = []
+def cross_validate(model: Any, train: DataFrame, folds: Folds, known: FoldMoments | None = None) -> list[dict[str, float]]:
+    """R2 and RMSE of each fold from one fit each. The linear family takes them from the folds' moments (known, or
+    one scan for all folds)."""
+    if isinstance(model, Linear) and (known or grams.fits(train)):
+        return linear_grid(train, folds, [model], known)[0]
+    out, rows = [], train.count()
     for fit_on, test_on in folds.pairs:
         scored = model.fit(train.where(fit_on)).transform(train.where(test_on))
-        row = evaluate(scored).first()
+        row = evaluate(scored, rows=rows).first()
         out.append({"r2": row["r2"], "rmse": row["rmse"]})
     return out
 
 
-def tune(name: str, model: Any, train: DataFrame, folds: Folds) -> tuple[Any, dict[str, Any] | None]:
+def linear_grid(train: DataFrame, folds: Folds, models: list[Linear], known: FoldMoments | None = None) -> list[list[dict[str, float]]]:
+    """For each of some linear models, R2 and RMSE of each fold, from one scan for all of them. Penalties go down,
+    and each solution starts the next of its kind."""
+    known = known or grams.fold_moments(train, folds.pairs)
+
+    def solutions(m: Moments) -> list[tuple]:
+        out: list[tuple] = [()] * len(models)
+        start: dict[float, Any] = {}
+        for k in sorted(range(len(models)), key=lambda k: (models[k].l1_ratio, -models[k].alpha)):
+            out[k] = models[k].solution(m, start.get(models[k].l1_ratio))
+            start[models[k].l1_ratio] = out[k][0]
+        return out
+
+    return grams.grid_scores(known, solutions)
+
+
+def tune(name: str, model: Any, train: DataFrame, folds: Folds, known: FoldMoments | None = None) -> tuple[Any, dict[str, Any] | None]:
     """The model with the parameters of the least mean RMSE over the folds (the first of equal ones)."""
-    best: tuple[float, dict[str, Any]] | None = None
-    for params in grid_of(name):
-        scores = cross_validate(with_params(model, params), train, folds)
-        mean = sum(s["rmse"] for s in scores) / len(scores)
-        if best is None or mean < best[0]:
-            best = mean, params
-    return (with_params(model, best[1]), best[1]) if best else (model, None)
+    grid = grid_of(name)
+    if not grid:
+        return model, None
+    points = [with_params(model, params) for params in grid]
+    if isinstance(model, Linear) and (known or grams.fits(train)):
+        scores = linear_grid(train, folds, points, known)
+    else:
+        scores = [cross_validate(m, train, folds) for m in points]
+    means = [sum(s["rmse"] for s in point) / len(point) for point in scores]
+    best = min(range(len(grid)), key=lambda k: (means[k], k))
+    return points[best], grid[best]
+
+
+#: Models that are fitted at the same time: each may hold a table of its own in the executors' memory.
+CONCURRENT_FITS = 4
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, models: dict[str, Any], folds: Folds, *, transform: str = "none", tuned: bool = False, progress: Callable[[int, int, str], None] | None = None) -> dict[str, ModelResult]:
+def train_and_evaluate(train: DataFrame, test: DataFrame, models: dict[str, Any], folds: Folds, *, transform: str = "none", tuned: bool = False, progress: Callable[[int, int, str], None] | None = None, concurrent: int = CONCURRENT_FITS) -> dict[str, ModelResult]:
     """train, test: `features`, `label` and the folds' columns. Test metrics are in original units,
-    cross-validation in those that models are trained in."""
+    cross-validation in those that models are trained in. Up to `concurrent` models are worked on at a time, each in a
+    scheduler pool of its own, so that (in a session that schedules fairly) long fits don't hold up short ones; fit_seconds
+    are what passes meanwhile. Results don't depend on it."""
     train, test = train.persist(), test.persist()
-    out: dict[str, ModelResult] = {}
+    spark = train.sparkSession
     try:
-        for k, (name, model) in enumerate(models.items(), start=1):
+        n_train, n_test = train.count(), test.count()
+        known = None
+        if any(isinstance(m, Linear) for m in models.values()) and grams.fits(train):
+            known = grams.fold_moments(train, folds.pairs)
+        told = threading.Lock()
+
+        def work(k: int, name: str, model: Any) -> ModelResult:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k % max(1, concurrent)}")
             if progress:
-                progress(k, len(models), name)
+                with told:
+                    progress(k, len(models), name)
             began, params = time.perf_counter(), None
             if tuned and name in GRIDS:
                 try:
-                    model, params = tune(name, model, train, folds)
+                    model, params = tune(name, model, train, folds, known)
                 except Exception as e:  # noqa: BLE001 - a grid that can't be searched leaves the default
                     log.warning("%s: tuning failed, defaults are used: %s", name, e)
-            fitted = model.fit(train)
+            fitted = model.fit(train, known.whole) if known and isinstance(model, Linear) else model.fit(train)
             seconds = time.perf_counter() - began
-            metrics = evaluate(original_units(fitted.transform(test), transform)).first().asDict()
-            on_train = evaluate(original_units(fitted.transform(train), transform)).first()
+            metrics = evaluate(original_units(fitted.transform(test), transform), rows=n_test).first().asDict()
+            on_train = evaluate(original_units(fitted.transform(train), transform), rows=n_train).first()
             metrics |= {"r2_train": on_train["r2"], "rmse_train": on_train["rmse"]}
             try:
-                cv = cross_validate(model, train, folds)
+                cv = cross_validate(model, train, folds, known)
                 metrics |= cv_summary(cv)
             except Exception as e:  # noqa: BLE001 - without scores the model still counts
                 log.warning("%s: cross-validation failed: %s", name, e)
                 cv = []
-            out[name] = ModelResult(name, fitted, metrics, cv, seconds, fitted.importances, params)
+            return ModelResult(name, fitted, metrics, cv, seconds, fitted.importances, params)
+
+        with ThreadPoolExecutor(max(1, min(concurrent, len(models)))) as pool:
+            asked = [pool.submit(inheritable_thread_target(spark)(work), k, name, model) for k, (name, model) in enumerate(models.items(), start=1)]
+            done = [a.result() for a in asked]
+        return {r.name: r for r in done}
     finally:
         train.unpersist()
         test.unpersist()
-    return out
 
 
 def cv_summary(cv: list[dict[str, float]]) -> dict[str, float]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,6 +14,7 @@ from lathe.operators import audit, charts, splits
 from lathe.operators.features import LABEL, FeatureModel, can_log, check_target, columns_with_hours, constant_columns, date_parts, drop_missing_target, fit_features
 from lathe.operators.models import PREDICTION, default_models
 from lathe.operators.profile import Profile, profile, quoted
+from lathe.operators.saved import load_fitted, read_json, save_fitted, write_json
 from lathe.operators.training import Folds, ModelResult, best_model, cv_table, importance_table, original_units, ranked, results_table, train_and_evaluate
 from lathe.options import Options
 from lathe.plans.feature_plan import FeaturePlan, dates_to_expand, ids_to_drop
@@ -166,19 +166,15 @@ def analyze(data: Dataset | DataFrame, options: Options) -> AnalysisResult:
 
 
 def save_model(result: AnalysisResult, path: str) -> None:
-    """The best model (one of Spark's own) under path/model, what prepares its features under path/features
-    and path/frequency_*, and facts about both as JSON under path/about."""
+    """The best model, of any kind, under path/model, tables of what prepares its features under path/frequency_*,
+    and facts about both as JSON under path/about."""
     spark = result.metrics.sparkSession
-    fitted = result.results[result.best].model
-    if not hasattr(getattr(fitted, "model", None), "write"):
-        raise ValueError(f"{result.best} isn't one of Spark's own models and can't be saved")
-    fitted.model.write().overwrite().save(f"{path}/model")
+    save_fitted(spark, result.results[result.best].model, f"{path}/model")
     f = result.prepared.features
     for k, (_, shares) in enumerate(f.frequency.items()):
         shares.write.mode("overwrite").parquet(f"{path}/frequency_{k}")
     about = {
         "best": result.best,
-        "class": type(fitted.model).__name__,
         "target": f.target,
         "transform": result.prepared.transform,
         "numeric": f.numeric,
@@ -193,7 +189,7 @@ def save_model(result: AnalysisResult, path: str) -> None:
         "dates": result.prepared.plan.dates,
         "with_hour": result.prepared.plan.with_hour,
     }
-    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    write_json(spark, about, f"{path}/about")
 
 
 @dataclass
@@ -216,9 +212,7 @@ class SavedModel:
 
 
 def load_model(spark, path: str) -> SavedModel:
-    from pyspark.ml import regression as R
-
-    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    about = read_json(spark, f"{path}/about")
     frequency = {c: spark.read.parquet(f"{path}/frequency_{k}") for k, c in enumerate(about["frequency"])}
     features = FeatureModel(about["target"], about["numeric"], frequency, about["one_hot"], about["medians"], about["modes"], about["means"], about["stds"], about["names"])
-    return SavedModel(about, features, getattr(R, about["class"]).load(f"{path}/model"))
+    return SavedModel(about, features, load_fitted(spark, f"{path}/model"))

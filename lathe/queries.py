@@ -416,6 +416,19 @@ def _(spark, d):
     return rounded(fitted.transform(s.where("split = 'test'").select("p_partkey", "features")).select("p_partkey", "prediction"), 6, "prediction")
 
 
+@query(
+    "knn_pruning",
+    f"WITH s AS ({_PART_SPLIT}) SELECT (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size FROM s WHERE split = 'test')) AS queries, (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size, p_retailprice FROM s WHERE split = 'train')) AS train_rows, queries * train_rows AS pairs, true AS fewer_compared",
+)
+def _(spark, d):
+    """How many pairs the exact nearest-neighbour search has, and whether it compared fewer."""
+    s = _part_split(spark, d).withColumn("label", F.col("p_retailprice"))
+    s = VectorAssembler(inputCols=["p_partkey", "p_size"], outputCol="features").transform(s)
+    fitted = models.Neighbours(5).fit(s.where("split = 'train'").select("features", "label"))
+    work = fitted.work(s.where("split = 'test'").select("features"))
+    return work.select("queries", "train_rows", "pairs", (F.col("compared") < F.col("pairs")).alias("fewer_compared"))
+
+
 @query(
     "stump",
     f"""WITH t AS (SELECT p_size AS x, p_retailprice AS y FROM ({_PART_SPLIT}) WHERE split = 'train'),
@@ -504,6 +517,33 @@ def _(spark, d):
     return spark.createDataFrame([tuple(round(s[k], 5) for k in ("cv_r2_mean", "cv_r2_std", "cv_rmse_mean"))], "cv_r2_mean double, cv_r2_std double, cv_rmse_mean double")
 
 
+_POINTS = [(n, p["alpha"], {"Ridge": 0.0, "Lasso": 1.0}.get(n, p.get("l1_ratio"))) for n in ("Ridge", "Lasso", "ElasticNet") for p in training.grid_of(n)]
+_GRID = _CV.split("\nf AS")[0] + f"""
+t AS (SELECT k.fold, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(y, x) AS cxy FROM (SELECT DISTINCT fold FROM q) k JOIN q ON q.fold <> k.fold GROUP BY k.fold),
+p(model, alpha, l1_ratio) AS (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {r}::DOUBLE)" for n, a, r in _POINTS)}),
+w AS (SELECT model, alpha, l1_ratio, fold, mx, my, CASE WHEN model = 'Ridge' THEN n * cxy / (n * vx + alpha) ELSE sign(cxy) * greatest(abs(cxy) - alpha * l1_ratio, 0) / (vx + alpha * (1 - l1_ratio)) END AS b FROM t, p),
+e AS (SELECT w.model, w.alpha, w.l1_ratio, q.fold, q.y, q.y - w.my - w.b * (q.x - w.mx) AS e FROM w JOIN q USING (fold))"""
+
+
+def _grid(spark, d):
+    """A row for each point of the linear family's grids and fold, from one scan of the training rows."""
+    train = splits.kfold(_one_feature(spark, d).where("split = 'train'"), ["p_partkey"])
+    points = [models.Linear(alpha=a, l1_ratio=r, ridge=n == "Ridge") for n, a, r in _POINTS]
+    scores = training.linear_grid(train, training.Folds.by_column("fold", 5), points)
+    return spark.createDataFrame([(*p, k, s["r2"], s["rmse"]) for p, point in zip(_POINTS, scores) for k, s in enumerate(point)], "model string, alpha double, l1_ratio double, fold int, r2 double, rmse double")
+
+
+@query("linear_grid_1f", f"{_GRID} SELECT model, alpha, l1_ratio, fold::INTEGER AS fold, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) + 0.0 AS r2, round(sqrt(avg(e * e)), 5) AS rmse FROM e GROUP BY model, alpha, l1_ratio, fold")
+def _(spark, d):
+    return rounded(rounded(_grid(spark, d), 6, "r2"), 5, "rmse")
+
+
+@query("linear_grid_best_1f", f"{_GRID}, g AS (SELECT model, alpha, l1_ratio, fold, sqrt(avg(e * e)) AS rmse FROM e GROUP BY ALL), m2 AS (SELECT model, alpha, l1_ratio, avg(rmse) AS mean FROM g GROUP BY ALL) SELECT model, round(min(mean), 5) AS cv_rmse_mean FROM m2 GROUP BY model")
+def _(spark, d):
+    means = _grid(spark, d).groupBy("model", "alpha", "l1_ratio").agg(F.avg("rmse").alias("mean"))
+    return rounded(means.groupBy("model").agg(F.min("mean").alias("cv_rmse_mean")), 5, "cv_rmse_mean")
+
+
 def _documents(spark, d):
     return load(spark, d, "documents").select("n_chars", F.length("text").alias("length"), F.col("doc_id").alias("place"), F.lit(3).alias("three"))
 
@@ -518,31 +558,34 @@ def _(spark, d):
     return rounded(audit.target_correlations(_documents(spark, d), "n_chars"), 6, "correlation")
 
 
-_SCORES = "(VALUES ('a', 0.5, 0.71), ('b', 0.5, 0.69), ('c', -0.1, 0.05), ('d', 0.99995, 0.99999), ('e', 0.2, 0.9), ('f', -2.0, 0.5)) v(model, r2, r2_train)"
-_AUDIT = f"""
-WITH x AS (SELECT skewness(n_chars) AS skew, stddev_samp(n_chars) AS std, abs(corr(n_chars, length(text))) AS r FROM documents), v AS (SELECT * FROM {_SCORES})
+_AUDIT = f"""{_PRED},
+x AS (SELECT skewness(n_chars) AS skew, abs(corr(n_chars, length(text))) AS r FROM documents), v AS (SELECT model, r2, r2_train FROM wide)
 SELECT 1::INTEGER AS rule_order, 'leakage' AS rule, 'length' AS subject, round(r, 4) AS value FROM x WHERE r > 0.99
 UNION ALL SELECT 3, 'skewed_target', 'n_chars', round(skew, 4) FROM x WHERE abs(skew) > 2
 UNION ALL SELECT 4, 'wide_data', 'n_chars', 500 FROM x
 UNION ALL SELECT 5, 'perfect_fit_with_leak', model, round(r2, 4) FROM v WHERE r2 > 0.9999 AND r2_train > 0.9999
-UNION ALL SELECT 6, 'overfit', model, round(r2_train::DOUBLE - r2::DOUBLE, 4) FROM v WHERE NOT (r2 > 0.9999 AND r2_train > 0.9999) AND r2_train::DOUBLE - r2::DOUBLE > 0.2
-UNION ALL SELECT 7, 'worse_than_mean', model, round(r2, 4) FROM v WHERE r2 < 0"""
-
-
-def _scores(spark):
-    return spark.createDataFrame([("a", 0.5, 0.71), ("b", 0.5, 0.69), ("c", -0.1, 0.05), ("d", 0.99995, 0.99999), ("e", 0.2, 0.9), ("f", -2.0, 0.5)], "model string, r2 double, r2_train double")
+UNION ALL SELECT 6, 'overfit', model, round(r2_train - r2, 4) FROM v WHERE NOT (r2 > 0.9999 AND r2_train > 0.9999) AND r2_train - r2 > 0.2
+UNION ALL SELECT 7, 'worse_than_mean', model, round(r2, 4) + 0.0 FROM v WHERE r2 < -1e-9"""
 
 
 @query("audit_findings", _AUDIT)
 def _(spark, d):
-    docs = _documents(spark, d)
+    docs, scores = _documents(spark, d), _metrics(spark, d).where("model <> 'mean' or r2 < -1e-9")
     s = profile.target_stats(docs, "n_chars").first()
-    return rounded(audit.findings(docs, "n_chars", _scores(spark), std=s["std"], skew=s["skew"], n_features=500, n_train=400, log_requested=False), 4, "value")
+    return rounded(audit.findings(docs, "n_chars", scores, std=s["std"], skew=s["skew"], n_features=500, n_train=400, log_requested=False), 4, "value")
+
+
+@query("audit_degenerate_target", "SELECT 2::INTEGER AS rule_order, 'degenerate_target' AS rule, 'flat' AS subject, stddev_samp(flat) AS value FROM (SELECT (p_size - p_size + 3)::DOUBLE AS flat FROM part) HAVING stddev_samp(flat) < 1e-9")
+def _(spark, d):
+    flat = load(spark, d, "part").select((F.col("p_size") - F.col("p_size") + 3).cast("double").alias("flat"), "p_size")
+    s = profile.target_stats(flat, "flat").first()
+    scores = _metrics(spark, d).limit(0)
+    return audit.findings(flat, "flat", scores, std=s["std"], skew=s["skew"], n_features=1, n_train=400, log_requested=False)
 
 
-@query("overfit_flags", f"SELECT model, round(r2_train::DOUBLE - r2::DOUBLE, 6) AS gap, r2_train::DOUBLE - r2::DOUBLE > 0.15 AS overfit, r2 > 0.9999 AND r2_train > 0.9999 AS perfect FROM {_SCORES}")
+@query("overfit_flags", f"{_PRED} SELECT model, round(r2_train - r2, 6) + 0.0 AS gap, r2_train - r2 > 0.15 AS overfit, r2 > 0.9999 AND r2_train > 0.9999 AS perfect FROM wide")
 def _(spark, d):
-    return rounded(audit.overfit_flags(_scores(spark)), 6, "gap")
+    return rounded(audit.overfit_flags(_metrics(spark, d)), 6, "gap")
 
 
 # ---- chart data
@@ -603,10 +646,17 @@ def _(spark, d):
     return rounded(charts.qq_line(_qq(spark, d)), 4, "slope", "intercept")
 
 
-@query("chart_importance_top", "SELECT 'f' || k AS feature, ((k * 37) % 101)::DOUBLE AS importance FROM range(60) t(k) ORDER BY importance DESC, feature LIMIT 20")
+_SLOPES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+
+
+@query("chart_importance_top", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(regr_slope(l_extendedprice, {c})), 3) AS importance FROM lineitem" for c in _SLOPES) + ") ORDER BY importance DESC LIMIT 3")
 def _(spark, d):
-    made = spark.range(60).select(F.lit("m").alias("model"), F.concat(F.lit("f"), F.col("id")).alias("feature"), ((F.col("id") * 37) % 101).cast("double").alias("importance"))
-    return charts.top_importances(made, "m")
+    """The three features whose slopes, fitted one by one, are steepest."""
+    rows = load(spark, d, "lineitem").select(*_SLOPES, F.col("l_extendedprice").alias("label")).persist()
+    fitted = {c: models.Linear().fit(VectorAssembler(inputCols=[c], outputCol="features").transform(rows)) for c in _SLOPES}
+    rows.unpersist()
+    made = spark.createDataFrame([("slopes", c, float(f.importances[0])) for c, f in fitted.items()], "model string, feature string, importance double")
+    return rounded(charts.top_importances(made, "slopes", 3), 3, "importance")
 
 
 @query("chart_cv_box", f"{_CV} SELECT 'ols' AS model, round(min(r2), 5) AS low, round(quantile_cont(r2, 0.25), 5) AS q1, round(median(r2), 5) AS median, round(quantile_cont(r2, 0.75), 5) AS q3, round(max(r2), 5) AS high, round(avg(r2), 5) AS mean FROM cv")
@@ -653,7 +703,7 @@ _fitted("tree", models.Tree())
 _fitted("forest", models.Forest(n_estimators=20, max_depth=8))
 _fitted("boosting", models.Boosting(n_estimators=20))
 _fitted("knn", models.Neighbours())
-_fitted("svr", models.KernelSVR(components=64, steps=15))
+_fitted("svr", models.KernelSVR())
 
 
 @query("tuned_ridge")

@@ -14,6 +14,7 @@ def get_session(master: str | None = None, app: str = "lathe", **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():

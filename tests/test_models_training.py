@@ -73,7 +73,7 @@ def test_trees_and_kernel_learn(spark):
     x = rng.uniform(-2, 2, size=(600, 2))
     y = np.sin(2 * x[:, 0]) * 3 + x[:, 1] ** 2 + 10
     train, test = table(spark, x[:450], y[:450]), table(spark, x[450:], y[450:])
-    for m, least in ((models.Tree(8), 0.85), (models.Forest(10, 8), 0.9), (models.Boosting(25), 0.9), (models.KernelSVR(components=128, steps=40, C=5.0), 0.9)):
+    for m, least in ((models.Tree(8), 0.85), (models.Forest(10, 8), 0.9), (models.Boosting(25), 0.9), (models.KernelSVR(C=5.0), 0.9), (models.FourierSVR(components=128, steps=40, C=5.0), 0.9)):
         fitted = m.fit(train)
         assert training.evaluate(fitted.transform(test)).first().r2 > least
         if fitted.importances is not None:
