@@ -18,6 +18,7 @@ gives none; extra columns stay in `scan` and `redact`, but for names that begin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
@@ -43,14 +44,15 @@ class Rule:
         return ("(?i)" if self.any_case else "") + self.pattern
 
 
-#: A private key's first or last line; its body has no run of five dashes, and at most 100 shorter ones.
-#: Without a last line, a key takes what follows of header lines and base64 (at most 200 lines of 16
-#: characters or more, and a shorter one that is padded). Line ends may be escaped, as in JSON.
-_KEY = r"-----{} [A-Z ]{{0,24}}PRIVATE KEY(?: BLOCK)?-----"
-_BREAK = r"(?:[\r\n\t\x20]|\\[rn])+"
-_HEADERS = f"(?:{_BREAK}[A-Za-z-]+:[^\\r\\n]*){{0,8}}"
-_LINE = f"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})"
-_LINES = _LINE + "{1,50}" + (_LINE + "{0,50}") * 3 + f"(?:{_BREAK}[A-Za-z0-9+/]*={{1,2}}[A-Za-z0-9+/]{{0,4}})?"  # SQL's engine has no repeats over 1,000
+#: A private key's first or last line; its body has no run of five dashes. Without a last line, a key takes what
+#: follows of header lines and base64 (lines of 16 characters or more, and a shorter one that is padded), however many
+#: there are. Line ends may be escaped, as in JSON. Repeats of groups are possessive: nothing that they take has
+#: to be given back, so a match needs no stack, whatever its length.
+_KEY = r"-----{} [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:[\r\n\t\x20]++|\\[rn])++"
+_HEADERS = f"(?:{_BREAK}[A-Za-z-]++:(?:[^\\r\\n\\\\]++|\\\\[^rn])*+)*+"
+_LINES = f"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}[A-Za-z0-9+/]*+={{1,2}}+[A-Za-z0-9+/]{{0,4}}+)?+"
+_BODY = r"[^-]*+(?:-{1,4}+[^-]++)*+"
 
 #: The three base rules, then those that this operator adds. Runs of hexadecimal digits and access
 #: keys state their least length in the pattern: a run that is too short can't hide a longer one.
@@ -58,7 +60,7 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
-    Rule("private_key", _KEY.format("BEGIN") + r"(?:[^-]*(?:-{1,4}[^-]+){0,100}" + _KEY.format("END") + f"|{_HEADERS}{_LINES})?"),
+    Rule("private_key", _KEY.format("BEGIN") + f"(?:{_BODY}{_KEY.format('END')}|{_HEADERS}{_LINES})?"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("git_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -98,7 +100,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             elif op is sre.BRANCH:
                 ways = [of(b) for b in arg[1]]
                 out = both(out, [x for w in ways for x in w] if all(ways) else [])
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
                 out = both(out, of(arg[2]))
         return both(out, of_run(run))
 
@@ -224,9 +226,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_spans(rule: Rule, place: int) -> str:
+    # SQL's engine needs no stack and knows no possessive repeats: the same rules without them
+    plain = lambda x: re.sub(r"([+*?}])\+", r"\1", x) if rule.kind == "private_key" else x
     flags = "'i'" if rule.any_case else "''"
-    p = "'" + rule.pattern.replace("'", "''") + "'"
-    cut = "'" + rule.expression.replace("'", "''") + "'"
+    p = "'" + plain(rule.pattern).replace("'", "''") + "'"
+    cut = "'" + plain(rule.expression).replace("'", "''") + "'"
     return f"""
 SELECT doc, {place} AS place, '{rule.kind}' AS kind, i, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start_at, length(m[i]) AS size, length(g[i]) AS gsize
 FROM (SELECT doc, m, g, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc, regexp_extract_all(t, {p}, 0, {flags}) AS m, regexp_extract_all(t, {p}, {rule.group}, {flags}) AS g, string_split_regex(t, {cut}) AS b FROM d))
