@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lathe.operators import grams
+from lathe.operators.deep_forest import DeepForest, DeepForestModel  # noqa: F401
 from lathe.operators.features import FEATURES, LABEL
 from lathe.operators.grams import Moments
 from lathe.operators.kernel import KernelModel, KernelSVR  # noqa: F401
 from lathe.operators.neighbours import Neighbours, NeighboursModel  # noqa: F401
 
 PREDICTION = "prediction"
+SPARK_DEPTH = 30  # the most that Spark's trees grow
 
 
 def _importances(model: Any) -> list[float] | None:
@@ -86,23 +88,23 @@ class Tree:
     max_depth: int | None = 10
     seed: int = 42
 
-    def fit(self, df: DataFrame) -> Fitted:
-        est = R.DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, maxDepth=_depth(self.max_depth), maxBins=256, seed=self.seed)
+    def fit(self, df: DataFrame) -> Any:
+        if self.max_depth is None or self.max_depth > SPARK_DEPTH:
+            return DeepForest(1, self.seed, bootstrap=False, max_depth=self.max_depth).fit(df)
+        est = R.DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, maxDepth=self.max_depth, maxBins=256, seed=self.seed)
         return Fitted(est.fit(df))
 
 
-def _depth(depth: int | None) -> int:
-    return 30 if depth is None else depth  # 30 is the most that Spark grows
-
-
 @dataclass(frozen=True)
 class Forest:
     n_estimators: int = 200
     max_depth: int | None = None
     seed: int = 42
 
-    def fit(self, df: DataFrame) -> Fitted:
-        est = R.RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=self.n_estimators, maxDepth=_depth(self.max_depth), featureSubsetStrategy="all", maxBins=256, seed=self.seed, maxMemoryInMB=1024)
+    def fit(self, df: DataFrame) -> Any:
+        if self.max_depth is None or self.max_depth > SPARK_DEPTH:
+            return DeepForest(self.n_estimators, self.seed, max_depth=self.max_depth).fit(df)
+        est = R.RandomForestRegressor(featuresCol=FEATURES, labelCol=LABEL, numTrees=self.n_estimators, maxDepth=self.max_depth, featureSubsetStrategy="all", maxBins=256, seed=self.seed, maxMemoryInMB=1024)
         return Fitted(est.fit(df))
 
 

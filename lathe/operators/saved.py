@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import SparkSession
 
+from lathe.operators.deep_forest import _KIND, DeepForestModel
 from lathe.operators.grams import LinearModel
 from lathe.operators.kernel import KernelModel, facts
 from lathe.operators.models import Fitted, FourierModel
@@ -37,6 +38,12 @@ def save_fitted(spark: SparkSession, fitted: Any, path: str) -> None:
         kind = {"kind": "kernel", **facts(fitted)}
     elif isinstance(fitted, FourierModel):
         kind = {"kind": "fourier", "w": fitted.w.tolist(), "phase": fitted.phase.tolist(), "theta": fitted.theta.tolist()}
+    elif isinstance(fitted, DeepForestModel):
+        trees = fitted.subtrees
+        if trees is None:
+            trees = spark.createDataFrame([(t, leaf, bytearray(n.tobytes())) for (t, leaf), n in fitted.small.items()], "tree int, leaf int, nodes binary")
+        trees.select("tree", "leaf", "nodes").write.mode("overwrite").parquet(f"{path}/trees")
+        kind = {"kind": "deep forest", "few": fitted.subtrees is None, "tops": [t.tolist() for t in fitted.tops], "importances": fitted.importances}
     elif isinstance(inner, LinearModel):
         kind = {"kind": "linear", "coefficients": inner.coefficients.toArray().tolist(), "intercept": inner.intercept}
     elif hasattr(inner, "write"):
@@ -57,6 +64,10 @@ def load_fitted(spark: SparkSession, path: str) -> Any:
         return KernelModel(x, weights, None if whole else spark.read.parquet(f"{path}/blocks"), kind["gamma"], kind["intercept"])
     if kind["kind"] == "fourier":
         return FourierModel(*(np.array(kind[c], float) for c in ("w", "phase", "theta")))
+    if kind["kind"] == "deep forest":
+        trees = spark.read.parquet(f"{path}/trees")
+        small = {(r["tree"], r["leaf"]): np.frombuffer(r["nodes"], _KIND) for r in trees.collect()} if kind["few"] else None
+        return DeepForestModel([np.array([tuple(n) for n in t], _KIND) for t in kind["tops"]], small, None if kind["few"] else trees, kind["importances"])
     if kind["kind"] == "linear":
         return Fitted(LinearModel(DenseVector(kind["coefficients"]), kind["intercept"]))
     return Fitted(getattr(importlib.import_module(kind["module"]), kind["class"]).load(f"{path}/model"))

@@ -700,7 +700,8 @@ _fitted("ridge", models.Linear(alpha=1.0, ridge=True))
 _fitted("lasso", models.Linear(alpha=0.01, l1_ratio=1.0))
 _fitted("elastic_net", models.Linear(alpha=0.01, l1_ratio=0.5))
 _fitted("tree", models.Tree())
-_fitted("forest", models.Forest(n_estimators=20, max_depth=8))
+_fitted("forest", models.Forest())
+_fitted("forest_8", models.Forest(n_estimators=20, max_depth=8))
 _fitted("boosting", models.Boosting(n_estimators=20))
 _fitted("knn", models.Neighbours())
 _fitted("svr", models.KernelSVR())

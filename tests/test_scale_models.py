@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from lathe.operators import grams, kernel, models, neighbours, saved, selection, training
+from lathe.operators import deep_forest, grams, kernel, models, neighbours, saved, selection, training
 from tests.test_models_training import coordinate_descent, plain_knn, problem, table
 
 
@@ -127,7 +127,7 @@ def test_metrics_are_the_same_whether_rows_are_known(spark, monkeypatch):
         assert all(unknown[g][c] == pytest.approx(r[c]) for c in training.METRICS)
 
 
-@pytest.mark.parametrize("model", [models.Linear(), models.Linear(alpha=0.1, l1_ratio=0.5), models.Tree(3), models.Forest(3, 3), models.Boosting(3), models.Neighbours(3), models.KernelSVR(), models.FourierSVR(components=16, steps=5)], ids=lambda m: type(m).__name__)
+@pytest.mark.parametrize("model", [models.Linear(), models.Linear(alpha=0.1, l1_ratio=0.5), models.Tree(3), models.Forest(3, 3), models.Forest(3), models.Tree(None), models.Boosting(3), models.Neighbours(3), models.KernelSVR(), models.FourierSVR(components=16, steps=5)], ids=lambda m: type(m).__name__)
 def test_every_model_can_be_saved(spark, tmp_path, model):
     x, y = problem(80)
     df = table(spark, x, y)
@@ -201,3 +201,52 @@ def test_kernel_regression_of_a_constant(spark):
     x, _ = problem(20, 2)
     df = table(spark, x, np.full(20, 4.0))
     assert all(abs(r.prediction - 4.0) <= 0.1 for r in models.KernelSVR().fit(df).transform(df).collect())
+
+
+def test_a_tree_without_limit_fits_distinct_rows_exactly(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, size=(900, 3)).astype(float)
+    x = np.unique(x, axis=0)
+    y = rng.normal(size=len(x))
+    x[:4, 2], y[:4] = 100.0, [1.0, -1.0, -1.0, 1.0]  # no single split of these gains anything
+    x[:4, :2] = [[0, 0], [0, 1], [1, 0], [1, 1]]
+    chain = np.arange(300.0)  # a chain that needs depth: each split takes one row
+    for tx, ty in ((x, y), (chain[:, None], 3.0**chain)):
+        fitted = deep_forest.DeepForest(1, bootstrap=False).fit(table(spark, tx, ty).repartition(3))
+        got = {tuple(r.features.toArray()): (r.label, r.prediction) for r in fitted.transform(table(spark, tx, ty)).collect()}
+        assert all(a == pytest.approx(b, rel=1e-9) for a, b in got.values())
+    assert sum(fitted.importances) == pytest.approx(1.0)
+
+
+def test_trees_split_over_tasks_and_within_one_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = problem(1200, 3)
+    x = np.round(x * 4)  # fewer values than bins: histograms are exact
+    y = x[:, 0] ** 2 - 3 * x[:, 1] + rng.normal(size=1200)
+    df = table(spark, x, y).repartition(4)
+    read = lambda m: {tuple(r.features.toArray()): r.prediction for r in m.transform(df).collect()}
+    whole = deep_forest.DeepForest(1, bootstrap=False).fit(df)
+    parts = deep_forest.DeepForest(1, bootstrap=False, local_rows=100).fit(df)
+    assert len(parts.tops[0]) > 5 and read(parts) == pytest.approx(read(whole))
+    monkeypatch.setattr(deep_forest, "BROADCAST_BYTES", 10)
+    table_ = deep_forest.DeepForest(1, bootstrap=False, local_rows=100).fit(df)
+    assert table_.small is None and read(table_) == pytest.approx(read(whole))
+
+
+def test_deep_forests_generalise(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-2, 2, size=(700, 2))
+    y = np.sin(2 * x[:, 0]) * 3 + x[:, 1] ** 2 + rng.normal(scale=0.3, size=700)
+    fitted = models.Forest(40).fit(table(spark, x[:500], y[:500]))
+    tree = models.Tree(None).fit(table(spark, x[:500], y[:500]))
+    r2 = lambda m: training.evaluate(m.transform(table(spark, x[500:], y[500:])), rows=200).first().r2
+    assert r2(fitted) > 0.93 and r2(fitted) > r2(tree)
+    w = deep_forest.weights(np.arange(100_000), 3, 42)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+
+
+def test_depth_limits_beyond_sparks(spark):
+    chain = np.arange(200.0)
+    t = table(spark, chain[:, None], 3.0**chain)
+    some, more = (len({r.prediction for r in models.Tree(d).fit(t).transform(t).collect()}) for d in (31, 60))
+    assert some < more < 200
