@@ -17,13 +17,12 @@ class with probability MIX and else as in ordinary texts, and a text's score com
 normalised for length: the mean of log(1 - MIX + MIX * p(word | toxic) / p(word | ordinary)) over its words.
 A slope and an intercept, fitted on labelled rows that the counts haven't seen, turn it into a probability.
 
-The model is a table of words and stems that grows with the corpus; nothing is left out of it. Its most
-frequent entries (at most HEAD) are broadcast and answer most words; for the others, chunks of texts send each
-distinct word once to the bucket of the table that has it, and the answers meet the chunk again. So a word
-that a third of all texts have is one request a chunk, and no task holds more than a bucket or a chunk.
+The model is a table of words and stems that grows with the corpus; nothing is left out of it. It is written as
+sorted arrays to files in the shared folder, which workers map into memory: texts are scored where they are, each distinct word of
+a chunk of texts is looked up once, and nothing is shuffled.
 
 Fitting takes three quarters of the labelled rows for counts, and of the rest at most `max_calibration` rows.
-Preceding words are told apart by 31-bit hashes, words and stems by 64-bit ones, texts by 128-bit ones.
+Preceding words are told apart by 31-bit hashes, words and stems by 64-bit ones.
 
 Edge cases: null text is the empty text, and a text without words has the mean 0; null labels and ids
 don't count; without labels of both classes all scores are alike; rows with equal ids each get a row, equal
@@ -33,6 +32,7 @@ texts equal scores; extra columns stay, but for the names that begin with `toxic
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,18 +44,16 @@ from pyspark.sql import functions as F
 
 from lathe.llm import common
 from lathe.llm.labelled import fold, logistic, with_labels
+from lathe.llm.language_model import Files, _write, local_path
 
 STEM = 6
 DISCOUNT = 1.0
 MIX = 0.003
-#: Entries of the model that are broadcast (16 bytes each).
-HEAD = 1_000_000
+#: Entries of the model that one file holds (16 bytes each).
+ENTRIES = 1_000_000
 MAX_CALIBRATION = 20_000
-#: Rejected texts, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
-BROADCAST_REJECTED = 1_000_000
-#: Characters of the texts that one chunk holds (a longer text is a chunk of its own), and that one bucket serves.
+#: Characters of the texts that are scored together (a longer text goes by itself).
 CHUNK_CHARS = 500_000
-BUCKET_CHARS = 16_000_000
 _WORDS = re.compile(r"[^\W_]+")
 _FLUSH = 100_000
 _KEYS_KEPT = 50_000
@@ -124,8 +122,9 @@ class Model:
     """nodes: key, delta of each stem and word: what it adds to `base` and, for words, to its stem."""
 
     nodes: DataFrame
-    base: float = 0.0
-    head: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0))
+    base: float
+    folder: str  # of the nodes' files
+    buckets: int
     slope: float = 0.0
     intercept: float = 0.0
 
@@ -162,149 +161,78 @@ def nodes(words: DataFrame, discount: float = DISCOUNT, mix: float = MIX) -> tup
     return of_words.unionByName(of_stems), base
 
 
-def _head(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The entries with the highest counts, as many as fit, by powers of two of their count."""
-    order = F.floor(F.log2("n")).cast("int")
-    counts = {r["o"]: r["count"] for r in table.groupBy(order.alias("o")).count().collect()}
-    room, least = size, None
-    for o in sorted(counts, reverse=True):
-        room -= counts[o]
-        if room < 0:
-            break
-        least = o
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0)
-    found = table.where(order >= least).select("key", "delta").toArrow()
-    keys, values = found.column("key").to_numpy(), found.column("delta").to_numpy()
-    at = np.argsort(keys)
-    return keys[at], values[at]
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the asked keys are known, and the values of these. keys is sorted."""
-    if not len(keys):
-        return np.zeros(len(asked), bool), np.empty(0)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    known = keys[at] == asked
-    return known, values[at[known]]
-
-
-_SENT = "bucket int, chunk binary, idx binary, hashes binary, keys binary, sizes binary, sums binary, open binary"
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts and their two key words, by chunks."""
-    keys, texts, chars = [], [], 0
-    for batch in batches:
-        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            text = text.as_py() or ""
-            if texts and chars + len(text) > CHUNK_CHARS:
-                yield np.array(keys, np.int64), texts
-                keys, texts, chars = [], [], 0
-            keys.append((a, b))
-            texts.append(text)
-            chars += len(text)
-    if texts:
-        yield np.array(keys, np.int64), texts
-
-
-def _send(batches: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray], base: float, buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each chunk: its texts' keys, sizes, sums of what the head knows and places that are still open (a
-    row), and the distinct open hashes by bucket (a row each)."""
-    import xxhash
-
-    names = [c.split(" ")[0] for c in _SENT.split(", ")]
-    for keys, texts in _chunks(batches):
-        sizes, words, stems = [], [], []
-        for text in texts:
-            w = words_of(text)
-            sizes.append(len(w))
-            words.append(np.fromiter(map(_WORD_HASH.__getitem__, w), np.uint64, len(w)).view(np.int64))
-            stems.append(np.fromiter(map(_STEM_HASH.__getitem__, w), np.uint64, len(w)).view(np.int64))
-        of = np.repeat(np.arange(len(texts)), sizes)
-        sums, owners, asked = np.array(sizes, float) * base, [], []
-        for hashes in (np.concatenate(words), np.concatenate(stems)):
-            known, values = _look_up(*head, hashes)
-            sums += np.bincount(of[known], values, len(texts))
-            owners.append(of[~known])
-            asked.append(hashes[~known])
-        owner = np.concatenate(owners)
-        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
-        order = np.argsort(owner, kind="stable")
-        spots = np.stack([owner[order], place[order]], axis=1).astype(np.int32)
-        chunk = xxhash.xxh3_128_digest(keys.tobytes())
-        rows = [(int(xxhash.xxh64_intdigest(chunk) % buckets), chunk, None, None, keys.tobytes(), np.array(sizes, np.int64).tobytes(), sums.tobytes(), spots.tobytes())]
-        home = distinct.view(np.uint64) % np.uint64(buckets)
-        order = np.argsort(home, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(home[order].view(np.int64)) != 0]) if len(order) else []
-        for a, b in zip(starts, [*starts[1:], len(order)]):
-            at = order[a:b]
-            rows.append((int(home[at[0]]), chunk, at.astype(np.int32).tobytes(), distinct[at].tobytes(), None, None, None, None))
-        kinds = [pa.int32()] + [pa.binary()] * 7
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-    _WORD_HASH.clear()
-    _STEM_HASH.clear()
-
-
-def _answer(sent: pa.Table, own: pa.Table) -> pa.Table:
-    """The values of a bucket's requests; the chunks' own rows pass."""
-    keys, values = own.column("key").to_numpy(), own.column("delta").to_numpy()
-    at = np.argsort(keys)
-    keys, values = keys[at], values[at]
-    out = []
-    for batch in sent.to_batches(max_chunksize=64):
-        for r in batch.to_pylist():
-            if r["idx"] is None:
-                out.append((r["chunk"], None, None, r["keys"], r["sizes"], r["sums"], r["open"]))
-                continue
-            known, found = _look_up(keys, values, np.frombuffer(r["hashes"], np.int64))
-            if known.any():
-                out.append((r["chunk"], np.frombuffer(r["idx"], np.int32)[known].tobytes(), found.tobytes(), None, None, None, None))
-    names = ["chunk", "idx", "found", "keys", "sizes", "sums", "open"]
-    return pa.table({n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names)})
-
-
-def _gather(table: pa.Table) -> pa.Table:
-    """The means of a chunk's texts. Equal chunks (copies) have equal rows; one of each does."""
-    rows = table.to_pylist()
-    own = next(r for r in rows if r["keys"] is not None)
-    keys = np.frombuffer(own["keys"], np.int64).reshape(-1, 2)
-    sizes, sums = np.frombuffer(own["sizes"], np.int64), np.frombuffer(own["sums"]).copy()
-    spots = np.frombuffer(own["open"], np.int32).reshape(-1, 2)
-    if len(spots):
-        values = np.zeros(spots[:, 1].max() + 1)
-        for r in rows:
-            if r["idx"] is not None:
-                values[np.frombuffer(r["idx"], np.int32)] = np.frombuffer(r["found"])
-        sums += np.bincount(spots[:, 0], values[spots[:, 1]], len(sums))
-    return pa.table({"k1": keys[:, 0], "k2": keys[:, 1], "mean": sums / np.maximum(sizes, 1)})
-
-
-def text_keys(text: Column) -> tuple[Column, Column]:
-    """128 bits that tell texts apart."""
-    whole = F.coalesce(text, F.lit(""))
-    return F.xxhash64(whole), F.xxhash64(F.lit(1), whole)
-
-
-def means(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """k1, k2, mean: for each different text (by `text_keys`) its mean log-likelihood ratio a word."""
-    spark = docs.sparkSession
-    k1, k2 = text_keys(F.col(text_col))
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    buckets = max(common.partitions(spark), chars // BUCKET_CHARS + 1)
-    head, base = spark.sparkContext.broadcast(model.head), model.base
-    sent = texts.mapInArrow(lambda it: _send(it, head.value, base, buckets), _SENT)
-    # the same bucket of a hash here and in numpy: its remainder as an unsigned number
-    key = F.col("key")
-    high, low = F.shiftrightunsigned(key, 32), key.bitwiseAND(0xFFFFFFFF)
-    bucket = F.pmod(F.pmod(high, F.lit(buckets)) * F.lit((1 << 32) % buckets) + low, F.lit(buckets)).cast("int")
-    own = model.nodes.select(bucket.alias("bucket"), "key", "delta")
-    answers = sent.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(lambda a, b: _answer(a, b), "chunk binary, idx binary, found binary, keys binary, sizes binary, sums binary, open binary")
-    return answers.groupBy("chunk").applyInArrow(_gather, "k1 long, k2 long, mean double").dropDuplicates(["k1", "k2"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", train=None, discount: float = DISCOUNT, mix: float = MIX, head: int = HEAD, max_calibration: int = MAX_CALIBRATION) -> Model:
+def _files(table: DataFrame, entries: int) -> tuple[str, int]:
+    """The nodes as files of about `entries` of them, sorted by key, in the shared folder: the folder as workers open it, and
+    how many files there are."""
+    spark = table.sparkSession
+    uri, path = local_path(spark, None)
+    os.makedirs(path, exist_ok=True)
+    common._written.append((spark, uri))
+    buckets = max(1, -(-table.count() // max(1, entries)))
+
+    def write(key, group):
+        keys, values = group.column("key").to_numpy().view(np.uint64), group.column("delta").to_numpy()
+        order = np.argsort(keys)
+        _write(f"{path}/nodes-{key[0].as_py()}", {"keys": keys[order], "deltas": values[order]})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64())})
+
+    bucket = F.expr(f"cast(shiftrightunsigned(key, 33) % {buckets} as bigint)")
+    table.select(bucket.alias("bucket"), "key", "delta").groupBy("bucket").applyInArrow(write, "bucket long").agg(F.count("*")).first()
+    return path, buckets
+
+
+def _deltas(files: Files, buckets: int, keys: np.ndarray) -> np.ndarray:
+    """What each key adds (nothing where the model doesn't know it). keys are distinct and in order."""
+    out, place = np.zeros(len(keys)), ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    ordered = place[order]
+    edges = [*np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]).tolist(), len(ordered)] if len(ordered) else []
+    for a, b in zip(edges, edges[1:]):
+        found = files(f"nodes-{ordered[a]}")
+        if found and len(found["keys"]):
+            asked = keys[order[a:b]]
+            at = np.minimum(np.searchsorted(found["keys"], asked), len(found["keys"]) - 1)
+            out[order[a:b]] = np.where(found["keys"][at] == asked, found["deltas"][at], 0.0)
+    return out
+
+
+def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+    chunk, chars = [], 0
+    for text in texts:
+        text = text.as_py() or ""
+        if chunk and chars + len(text) > CHUNK_CHARS:
+            yield chunk
+            chunk, chars = [], 0
+        chunk.append(text)
+        chars += len(text)
+    if chunk:
+        yield chunk
+
+
+def means(text: Column, model: Model) -> Column:
+    """A text's mean log-likelihood ratio a word: workers look up the distinct words and stems of a chunk of texts
+    in the model's mapped files."""
+    folder, buckets, base = model.folder, model.buckets, model.base
+
+    @F.arrow_udf("double")
+    def mean(texts: pa.Array) -> pa.Array:
+        files, out = Files(folder, 64), []
+        for chunk in _chunks(texts):
+            words = [words_of(t) for t in chunk]
+            sizes = np.array([len(w) for w in words], np.int64)
+            of, total = np.repeat(np.arange(len(chunk)), sizes), sizes * base
+            for hashes in (_WORD_HASH, _STEM_HASH):
+                keys, back = np.unique(np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum())), return_inverse=True)
+                total = total + np.bincount(of, _deltas(files, buckets, keys)[back], len(chunk))
+            out.append(total / np.maximum(sizes, 1))
+        _WORD_HASH.clear()  # workers live on for other stages
+        _STEM_HASH.clear()
+        return pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())
+
+    return mean(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", train=None, discount: float = DISCOUNT, mix: float = MIX, entries: int = ENTRIES, max_calibration: int = MAX_CALIBRATION) -> Model:
     """train: a condition on the rows to learn from (default: all). A quarter of these, by a hash of
     the id, calibrates; the others are counted."""
     rows = with_labels(docs.select(id_col, text_col), labels, id_col, label)
@@ -313,38 +241,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))
     table, base = nodes(common.durable(word_counts(rows.where(part != 0), text_col), "words"), discount, mix)
     table = common.durable(table, "nodes")
-    model = Model(table.select("key", "delta"), base, _head(table, head))
+    model = Model(table.select("key", "delta"), base, *_files(table, entries))
     share = min(1.0, max_calibration / max(1, rows.select(part.alias("p")).where("p = 0").count()))
     drawn = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = common.durable(rows.where(drawn & (part == 0)).select(F.col(text_col).alias("text"), "label_"), "calibration")
-    k1, k2 = text_keys(F.col("text"))
-    kept = sample.select(k1.alias("k1"), k2.alias("k2"), "label_").join(means(sample, model), ["k1", "k2"]).select("mean", "label_").toArrow()
+    kept = sample.select(means(F.col("text"), model).alias("mean"), "label_").toArrow()
     weights, model.intercept = logistic(kept.column("mean").to_numpy().reshape(-1, 1), kept.column("label_").to_numpy().astype(float), l2=1e-5)
     model.slope = float(weights[0])
     return model
 
 
-def _judged(found: DataFrame, model: Model) -> DataFrame:
-    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.col("mean"))))
-    found = found.select(F.col("k1").alias("toxicity_k1"), F.col("k2").alias("toxicity_k2"), score.alias("toxicity_score"))
-    return found.withColumn("toxicity_predicted", (F.col("toxicity_score") >= 0.5).cast("int"))
+def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    found = docs.withColumn("toxicity_mean", means(F.col(text_col), model))
+    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.col("toxicity_mean"))))
+    return found.withColumn("toxicity_score", score).withColumn("toxicity_predicted", (F.col("toxicity_score") >= 0.5).cast("int"))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with toxicity_score (0 to 1) and toxicity_predicted (1 from 0.5 on)."""
-    found = _judged(means(docs, model, text_col), model).select(F.struct("toxicity_k1", "toxicity_k2").alias("toxicity_key"), "toxicity_score", "toxicity_predicted")
-    k1, k2 = text_keys(F.col(text_col))
-    keyed = docs.withColumn("toxicity_key", F.struct(k1.alias("toxicity_k1"), k2.alias("toxicity_k2")))
-    return common.spread_join(keyed, found, "toxicity_key", docs.count()).select(*docs.columns, "toxicity_score", "toxicity_predicted")
+    return _judged(docs, model, text_col).select(*docs.columns, "toxicity_score", "toxicity_predicted")
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't predicted toxic; texts stay where they are while few enough are."""
-    found = common.durable(_judged(means(docs, model, text_col), model).where("toxicity_predicted = 1").select("toxicity_k1", "toxicity_k2"), "toxic")
-    if found.count() <= BROADCAST_REJECTED:
-        found = F.broadcast(found)
-    k1, k2 = text_keys(F.col(text_col))
-    return docs.join(found, (k1 == F.col("toxicity_k1")) & (k2 == F.col("toxicity_k2")), "left_anti")
+    """The rows of docs that aren't predicted toxic."""
+    return _judged(docs, model, text_col).where("toxicity_predicted = 0").select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

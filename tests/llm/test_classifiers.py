@@ -80,14 +80,14 @@ def plain_model(rows, discount=toxicity.DISCOUNT, mix=toxicity.MIX):
     return value
 
 
-@pytest.mark.parametrize("head", [0, 60, 10**6])
-def test_toxicity_scores_against_plain_python(spark, head, monkeypatch):
+@pytest.mark.parametrize("entries", [20, 60, 10**6])
+def test_toxicity_scores_against_plain_python(spark, entries, monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK_CHARS", 3000)
     docs, labels = toxic_corpus(200)
     docs += [(20_000, "never seen taresek words blorgs"), (20_001, "ta " * 40)]
     d = spark.createDataFrame([(*r, 1.5) for r in docs], "doc_id long, text string, mean double").repartition(4)
-    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), head=head)
-    assert len(model.head[0]) <= head and (head < 10**6 or len(model.head[0]) == model.nodes.count())
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), entries=entries)
+    assert model.buckets == -(-model.nodes.count() // entries)
     truth = {i: t for i, _, t in labels if t is not None}
     parts = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in truth if i is not None], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(4))).collect()}
     value = plain_model([(t, truth[i]) for i, t in docs if i in parts and parts[i] != 0])
