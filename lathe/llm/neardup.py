@@ -463,18 +463,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sized(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
-    gone = ids.where("not stays").select(F.col("id").alias("_gone"))
-    shared = ids.where("stays and rows > 1").select(F.col("id").alias("_shared"))
-    out = docs.join(sized(gone), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    # helper columns begin with more underscores than any of docs
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))
+    gone, sharing, norm, one, kept_norm = (own + c for c in ("gone", "shared", "norm", "id", "kept"))
+    dropped = ids.where("not stays").select(F.col("id").alias(gone))
+    shared = ids.where("stays and rows > 1").select(F.col("id").alias(sharing))
+    out = docs.join(sized(dropped), docs[id_col].eqNullSafe(F.col(gone)), "left_anti")
     if not shared.limit(1).count():
         return out
     # ids of several rows of which some stay: these rows are looked up by their words, too
     shared = sized(shared)
-    by_id = docs[id_col].eqNullSafe(F.col("_shared"))
-    kept = verdicts.where("stays").select(F.col("id").alias("_id"), F.col("norm").alias("_kept"))
-    several = docs.join(shared, by_id, "left_semi").withColumn("_norm", text_norm(F.col(text_col)))
-    several = several.join(kept, (F.col("_norm") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return out.join(shared, by_id, "left_anti").unionByName(several.dropDuplicates([id_col, "_norm"]).drop("_norm"))
+    by_id = docs[id_col].eqNullSafe(F.col(sharing))
+    kept = verdicts.where("stays").select(F.col("id").alias(one), F.col("norm").alias(kept_norm))
+    several = docs.join(shared, by_id, "left_semi").withColumn(norm, text_norm(F.col(text_col)))
+    several = several.join(kept, (F.col(norm) == F.col(kept_norm)) & F.col(id_col).eqNullSafe(F.col(one)), "left_semi")
+    return out.join(shared, by_id, "left_anti").unionByName(several.dropDuplicates([id_col, norm]).drop(norm))
 
 
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,3 +217,10 @@ def test_spread_join_splits_hot_keys(spark):
     out = common.spread_join(left, right, "k", 5000)
     assert out.count() == 5000 and out.where("v = 2 * k").count() == 5000 and sorted(out.columns) == ["id", "k", "v"]
     assert common.spread_join(left.limit(0), right, "k", 0).count() == 0
+
+
+def test_deduplicate_with_columns_named_like_its_own(spark):
+    rows = [(1, "a b c d e f g h", 1), (2, "a b c d e f g h", 2), (3, "other words are here for all to read", 3), (3, "yet another text that shares its id only", 4), (None, None, 5)]
+    df = spark.createDataFrame([(*r, *"vwxyz") for r in rows], "doc_id long, text string, n int, _gone string, _shared string, _norm string, _id string, _kept string")
+    got = neardup.deduplicate(df)
+    assert got.columns == df.columns and sorted(r.n for r in got.collect()) == [1, 3, 4, 5]
