@@ -165,8 +165,8 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, models: dict[str, Any]
             on_train = evaluate(original_units(fitted.transform(train), transform), rows=n_train).first()
             metrics |= {"r2_train": on_train["r2"], "rmse_train": on_train["rmse"]}
             try:
-                cv = cross_validate(model, train, folds, known)
-                metrics |= cv_summary(cv)
+                cv = cross_validate(model, train, folds, known) if folds.pairs else []
+                metrics |= cv_summary(cv) if cv else {}
             except Exception as e:  # noqa: BLE001 - without scores the model still counts
                 log.warning("%s: cross-validation failed: %s", name, e)
                 cv = []

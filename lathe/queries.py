@@ -418,7 +418,7 @@ def _(spark, d):
 
 @query(
     "knn_pruning",
-    f"WITH s AS ({_PART_SPLIT}) SELECT (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size FROM s WHERE split = 'test')) AS queries, (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size, p_retailprice FROM s WHERE split = 'train')) AS train_rows, queries * train_rows AS pairs, true AS fewer_compared",
+    f"WITH s AS ({_PART_SPLIT}), n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size FROM s WHERE split = 'test')) AS queries, (SELECT count(*) FROM (SELECT DISTINCT p_partkey, p_size, p_retailprice FROM s WHERE split = 'train')) AS train_rows) SELECT queries, train_rows, queries * train_rows AS pairs, true AS fewer_compared FROM n",
 )
 def _(spark, d):
     """How many pairs the exact nearest-neighbour search has, and whether it compared fewer."""
