@@ -1,9 +1,13 @@
 """What went wrong only on larger tables, on small ones that have the same fault."""
 
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lathe.functions.stats import sample_skewness
-from lathe.operators import audit
+from lathe.operators import audit, models, neighbours
+from tests.test_models_training import plain_knn, table
 
 
 def test_constants_over_many_partitions_have_no_correlation(spark):
@@ -13,3 +17,17 @@ def test_constants_over_many_partitions_have_no_correlation(spark):
     assert got["x"] is not None and got["three"] is None
     assert audit.target_correlations(df.select("three", "y"), "three").first()["correlation"] is None
     assert df.agg(sample_skewness(F.col("three").cast("double"))).first()[0] == 0.0
+
+
+def test_more_rows_make_more_and_not_larger_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 4, raising=False)
+    monkeypatch.setattr(neighbours, "PIVOTS", 8)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(size=(2_000, 9)) * [9, 5, 3, 1, 1, 0, 0, 0, 0], 1)  # distances by products
+    y, q = rng.integers(0, 9, 2_000).astype(float), x[::50] + 0.01
+    fitted = models.Neighbours().fit(table(spark, x, y))
+    df = spark.createDataFrame([(i, Vectors.dense(a.tolist())) for i, a in enumerate(q)], ["i", "features"])
+    got = {r.i: r.prediction for r in fitted.transform(df).collect()}
+    assert len(fitted.pivots) > 400 and all(got[i] == pytest.approx(w) for i, w in enumerate(plain_knn(x, y, q, 5)))
+    work = fitted.work(df).first()
+    assert work.queries == len(q) and work.compared < work.pairs / 10
