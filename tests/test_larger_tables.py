@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lathe.functions.stats import sample_skewness
-from lathe.operators import audit, models, neighbours
+from lathe.operators import audit, features, models, neighbours
 from tests.test_models_training import plain_knn, table
 
 
@@ -31,3 +31,18 @@ def test_more_rows_make_more_and_not_larger_cells(spark, monkeypatch):
     assert len(fitted.pivots) > 400 and all(got[i] == pytest.approx(w) for i, w in enumerate(plain_knn(x, y, q, 5)))
     work = fitted.work(df).first()
     assert work.queries == len(q) and work.compared < work.pairs / 10
+
+
+def test_medians_of_many_rows_sort_only_the_middle(spark, monkeypatch):
+    monkeypatch.setattr(features, "AGGREGATE_MEDIAN_ROWS", 0)
+    sorted_rows = []
+    order_rows = features.order_rows
+    monkeypatch.setattr(features, "order_rows", lambda df, *a: sorted_rows.append(df.count()) or order_rows(df, *a))
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6_000, 3))
+    v[:, 1] = np.round(v[:, 1])  # few values: nothing to sort
+    v[:3_000, 2], v[3_000:, 2] = 1.0, 2.0  # the middle ones differ
+    df = spark.createDataFrame([(*map(float, r), float(i) if i % 3 else None) for i, r in enumerate(v)], "a double, b double, c double, d double").repartition(5)
+    got = features.exact_medians(df, ["a", "b", "c", "d"])
+    assert got == {"a": float(np.median(v[:, 0])), "b": float(np.median(v[:, 1])), "c": 1.5, "d": float(np.median([i for i in range(6_000) if i % 3]))}
+    assert len(sorted_rows) == 3 and sorted(sorted_rows)[1] < 200
