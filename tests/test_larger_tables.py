@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lathe.functions.stats import sample_skewness
-from lathe.operators import audit, features, models, neighbours
+from lathe.operators import audit, deep_forest, features, models, neighbours
 from tests.test_models_training import plain_knn, table
 
 
@@ -46,3 +46,17 @@ def test_medians_of_many_rows_sort_only_the_middle(spark, monkeypatch):
     got = features.exact_medians(df, ["a", "b", "c", "d"])
     assert got == {"a": float(np.median(v[:, 0])), "b": float(np.median(v[:, 1])), "c": 1.5, "d": float(np.median([i for i in range(6_000) if i % 3]))}
     assert len(sorted_rows) == 3 and sorted(sorted_rows)[1] < 200
+
+
+def test_a_large_forest_meets_its_queries_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(600, 3)), rng.normal(size=600)
+    df = table(spark, x, y).repartition(4)
+    read = lambda m: {r.label: r.prediction for r in m.transform(df).collect()}
+    want = read(deep_forest.DeepForest(3, local_rows=150).fit(df))
+    monkeypatch.setattr(deep_forest, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(deep_forest, "QUERIES", 250, raising=False)  # three slices
+    fitted = deep_forest.DeepForest(3, local_rows=150).fit(df)
+    assert fitted.small is None and read(fitted) == pytest.approx(want)
+    plan = fitted.transform(df)._jdf.queryExecution().toString()
+    assert "CoGroupsInArrow" in plan  # not a join that copies a subtree for each block of queries
