@@ -3,7 +3,7 @@
 Stages, in order: toxicity (rejected documents go), quality classifier (rejected documents go), SimHash
 near-dedup (one document of each group stays), secret scans (spans of secrets are replaced by a mark;
 the documents stay) and best-fit packing (a row for each piece). Every stage takes all that the one before
-it kept, and all but the last return the columns of documents.
+it kept, and all but the last return the columns of documents. Stages that run Python get texts in small Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,25 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import neardup, packing, quality_crf, secrets, toxicity
-from lathe.llm.common import durable, table
+from lathe.llm.common import durable, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models don't take for toxic; fitted on labelled documents."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the random field takes for good; fitted on labelled documents."""
+    small_batches(spark)
     field = quality_crf.fit(docs, table(spark, sf_dir, "labels"))
     return quality_crf.score(docs, field).where("quality_predicted = 1").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group."""
+    small_batches(spark)
     return neardup.deduplicate(docs)
 
 
@@ -43,6 +46,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.packed_documents(docs.select("doc_id", "text"))
 
 

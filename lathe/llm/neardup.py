@@ -54,7 +54,7 @@ BANDS, BAND_ROWS = 16, 5
 #: Shingles (4 bytes each) of either side that one block of a meeting compares, and that one task gets, about.
 #: A text counts for OVERHEAD shingles more than it has.
 BLOCK = 500_000
-TASK_SHINGLES = 8_000_000
+TASK_SHINGLES = 2_000_000
 OVERHEAD = 64
 #: Ids of dropped documents, up to this number (about 32 MB), are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -313,6 +313,7 @@ def _signatures(texts: list[str], shingle: int) -> list[pa.Array]:
             grams = mixed(grams * np.uint64(3) + h[k : len(h) - shingle + 1 + k])
         packed.append(np.unique((grams >> np.uint64(32)).astype("<u4")).tobytes())
         bands.append(_bands(np.unique(grams)))
+    WORD_HASH.clear()  # workers live on for other stages
     return [pa.array(norms, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(packed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
 
 

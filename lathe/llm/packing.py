@@ -136,7 +136,9 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
     if any(n is None or n < 0 or n > capacity for n in histogram):
         raise ValueError(f"piece lengths must be from 0 to {capacity}")
     runs = plan(histogram, capacity)
-    slots = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "_length long, _first long, _number long, _sequence long, _offset long")
+    # an Arrow table: rows from a list would go through Python workers of another kind, with a daemon of their own that stays
+    columns = np.array(runs or [(0, 0, 0, 0, 0)], np.int64).T
+    slots = spark.createDataFrame(pa.table({c: pa.array(v) for c, v in zip(("_length", "_first", "_number", "_sequence", "_offset"), columns)}))
     slots = slots.where("_number > 0").groupBy("_length").agg(F.sort_array(F.collect_list(F.struct("_first", "_sequence", "_offset"))).alias("_runs"))
     offsets = common.running_offsets(counts, ["_length"], "_salt", "count", "_before").drop("count")
     from pyspark.sql import Window

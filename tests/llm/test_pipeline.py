@@ -90,3 +90,35 @@ def test_stages_on_empty_and_null_documents(spark, tmp_path):
             if "secret" in name:
                 assert out.count() == len(rows)
         assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= len(rows)
+
+
+def test_texts_come_to_workers_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lathe.llm.common import BATCH_BYTES
+
+    @F.arrow_udf("long")
+    def in_batch(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(i, f"{i} " + "a few words " * 800, "en", "s", 9_600) for i in range(1500)]  # 14 MB, once a batch
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[1]):
+        spark.conf.unset(name)
+        stage(spark, docs, str(tmp_path))
+        assert docs.select(in_batch("text").alias("n")).agg(F.max("n")).first()[0] <= 1.5 * BATCH_BYTES
+    spark.conf.set(name, "1000b")
+    corpus_pipeline.small_batches(spark)
+    assert spark.conf.get(name) == "1000b"
+    spark.conf.unset(name)
+
+
+def test_packing_plans_need_no_workers_of_another_kind(spark, monkeypatch):
+    from lathe.llm import packing
+
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **k: 1 / 0)
+    assert packing.packed_documents(docs).count() == 40
