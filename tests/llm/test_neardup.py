@@ -71,6 +71,43 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [200_000, 50, 1])
+def test_components_of_pieces_with_hubs(spark, piece):
+    """Hubs of more edges than a task's share, paths and random edges, contracted at once or by pieces."""
+    rnd = random.Random(6)
+    edges = [(20_000 + 3 * i, 9_000 + i % 2) for i in range(900)] + [(8_000, 20_000 + 3 * i) for i in range(0, 900, 7)] + [(i, i + 1) for i in range(40)]
+    edges += [(rnd.randrange(300, 900), rnd.randrange(300, 900)) for _ in range(250)] + [(5, 5), (None, 3)]
+    rnd.shuffle(edges)
+    name = lambda v: None if v is None else bytearray(v.to_bytes(4, "big"))
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges * 2], "a binary, b binary")
+    got = sorted((bytes(r.node), bytes(r.root)) for r in components.components(df, piece).collect())
+    parent = {}
+
+    def root(v):
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        if a is not None:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    assert got == sorted((bytes(name(v)), bytes(name(root(v)))) for v in parent if root(v) != v)
+
+
+def test_components_of_small_graphs_take_few_stages(spark):
+    """Each stage and scan costs the driver memory: a long path had taken some hundred stages, with plans of 200 kB."""
+    edges = common.durable(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), "path")
+    spark.sparkContext.setJobGroup("few-stages", "components of a path")
+    try:
+        assert components.components(edges).count() == 60
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few-stages") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(stages) <= 25
+
+
 def make_docs():
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 6)))
