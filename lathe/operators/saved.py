@@ -43,7 +43,7 @@ def save_fitted(spark: SparkSession, fitted: Any, path: str) -> None:
         if trees is None:
             trees = spark.createDataFrame([(t, leaf, bytearray(n.tobytes())) for (t, leaf), n in fitted.small.items()], "tree int, leaf int, nodes binary")
         trees.select("tree", "leaf", "nodes").write.mode("overwrite").parquet(f"{path}/trees")
-        kind = {"kind": "deep forest", "few": fitted.subtrees is None, "tops": [t.tolist() for t in fitted.tops], "importances": fitted.importances}
+        kind = {"kind": "deep forest", "few": fitted.subtrees is None, "tops": [t.tolist() for t in fitted.tops], "importances": fitted.importances, "bundle": fitted.bundle}
     elif isinstance(inner, LinearModel):
         kind = {"kind": "linear", "coefficients": inner.coefficients.toArray().tolist(), "intercept": inner.intercept}
     elif hasattr(inner, "write"):
@@ -67,7 +67,7 @@ def load_fitted(spark: SparkSession, path: str) -> Any:
     if kind["kind"] == "deep forest":
         trees = spark.read.parquet(f"{path}/trees")
         small = {(r["tree"], r["leaf"]): np.frombuffer(r["nodes"], _KIND) for r in trees.collect()} if kind["few"] else None
-        return DeepForestModel([np.array([tuple(n) for n in t], _KIND) for t in kind["tops"]], small, None if kind["few"] else trees, kind["importances"])
+        return DeepForestModel([np.array([tuple(n) for n in t], _KIND) for t in kind["tops"]], small, None if kind["few"] else trees, kind["importances"], kind.get("bundle", 0))
     if kind["kind"] == "linear":
         return Fitted(LinearModel(DenseVector(kind["coefficients"]), kind["intercept"]))
     return Fitted(getattr(importlib.import_module(kind["module"]), kind["class"]).load(f"{path}/model"))
