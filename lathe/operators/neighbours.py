knn_pruning: the figures of a k-NN search come from one search whose steps run once

Symptom: knn_pruning took 11.6 CPU seconds for 20,000 rows on three executors of two cores (sf0.1), most of it Python; JVM 426, Python 634 and GC 34 CPU seconds a GB (counted as 0.01 GB).
Evidence: work() read the visits of both rounds for the search and again for the count, so the first round ran four times, each time behind a sort by ranges that runs its input once more for its bounds; cells of training rows were looked up twice too. The plans held 32 Python map steps and 47 exchanges (now 17 and 32), and 12 tasks shared 4,000 queries.
Fix: the search itself counts the pairs it compares, work() keeps the placed queries and the first round on disk until it ends, fit() keeps placed rows for their sort, and rows and queries are dealt to one task for 4,096 and 1,024 of them up to the shuffle partitions.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 876 -> 613 s, shuffle 0.30 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.22 GB, longest task 3 -> 4 s, most memory of a task 135 -> 134 MB; at 6 GB of input CPU 5246 -> 2033 s, shuffle 2.18 -> 1.06 GB, spill 0.00 -> 0.00 GB, read 1.34 -> 1.27 GB, longest task 12 -> 6 s, most memory of a task 135 -> 134 MB.

@@ -32,6 +32,8 @@ PREDICTION = "prediction"
 #: Pivots: one for so many distinct rows, and the fewest and most of them.
 CELL_ROWS, PIVOTS, MOST_PIVOTS = 512, 128, 4096
 LANES = 16
+#: Queries that are packed together.
+BATCH = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -59,24 +61,34 @@ class Neighbours:
     def fit(self, df: DataFrame) -> NeighboursModel:
         rows = df.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("times"))
         rows = rows.persist(StorageLevel.DISK_ONLY)
+        placed = None
         try:
             # Distinct rows in the order of a hash: as good as a random sample of a fixed size.
-            wanted = self.pivots or min(max(rows.count() // CELL_ROWS, PIVOTS), MOST_PIVOTS)
-            picked = rows.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(wanted).collect()
+            n = rows.count()
+            picked = rows.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(self.pivots or min(max(n // CELL_ROWS, PIVOTS), MOST_PIVOTS)).collect()
             pivots = np.array([r["x"] for r in picked], float)
-            blocks = _blocks(rows, pivots, self.block_rows).persist(StorageLevel.DISK_ONLY)
+            tasks = _tasks(rows, n, self.block_rows)
+            placed = _assigned(rows.coalesce(tasks), pivots).persist(StorageLevel.DISK_ONLY)  # the sort by ranges reads it twice
+            blocks = _blocks(placed, tasks, self.block_rows).persist(StorageLevel.DISK_ONLY)
             model = NeighboursModel(blocks, pivots, _segments(blocks), self.n_neighbors)
         finally:
             rows.unpersist()
+            if placed:
+                placed.unpersist()
         return model
 
 
+def _tasks(df: DataFrame, n: int, rows: int) -> int:
+    """How many tasks n rows are dealt to: one for so many rows, as far as there are shuffle partitions."""
+    return max(1, min(-(-n // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _cells(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.concatenate([squared(x[a : a + 1024], pivots).argmin(1) for a in range(0, len(x), 1024)])
 
 
-def _blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
-    """Rows in segments (cell, part) and in blocks of these: lo, hi, n (with repeats), rows, and x, y, times as bytes."""
+def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with the cell of their nearest pivot and their distance r from it."""
 
     def assign(batches):
         for batch in batches:
@@ -86,9 +98,12 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
                 r = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(r), *(batch.column(c) for c in ("x", "y", "times"))], names=["cell", "r", "x", "y", "times"])
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(assign, "cell int, r double, x array<double>, y double, times long")
-    placed = placed.repartitionByRange(n, "cell", "r", F.xxhash64("x", "y")).sortWithinPartitions("cell", "r").withColumn("part", F.spark_partition_id())
+    return rows.mapInArrow(assign, "cell int, r double, x array<double>, y double, times long")
+
+
+def _blocks(rows: DataFrame, tasks: int, size: int) -> DataFrame:
+    """Assigned rows in segments (cell, part) and in blocks of these: lo, hi, n (with repeats), rows, and x, y, times as bytes."""
+    placed = rows.repartitionByRange(tasks, "cell", "r", F.xxhash64("x", "y")).sortWithinPartitions("cell", "r").withColumn("part", F.spark_partition_id())
 
     def pack(batches):
         for batch in batches:
@@ -126,8 +141,8 @@ class NeighboursModel:
     def release(self) -> None:
         self.blocks.unpersist()
 
-    def _clustered(self, queries: DataFrame) -> DataFrame:
-        """Queries in the order of their nearest pivots."""
+    def _placed(self, queries: DataFrame) -> DataFrame:
+        """Queries with `own`, the cell of their nearest pivot."""
         pivots = self.pivots
 
         def place(batches):
@@ -135,12 +150,10 @@ class NeighboursModel:
                 if batch.num_rows:
                     yield batch.append_column("own", pa.array(_cells(_matrix(batch.column("x")), pivots).astype(np.int32)))
 
-        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        schema = ", ".join(f"{c} {kind}" for c, kind in queries.dtypes)
-        return queries.mapInArrow(place, f"{schema}, own int").repartitionByRange(n, "own", "a").sortWithinPartitions("own")
+        return queries.mapInArrow(place, "a long, b long, x array<double>, own int")
 
-    def _visits(self, queries: DataFrame, rest: bool) -> DataFrame:
-        """Queries of (a, b, x), and with `rest` of `bound` (their k-th distance so far), packed by the segments to visit.
+    def _visits(self, queries: DataFrame, rest: bool, tasks: int | None = None) -> DataFrame:
+        """Placed queries, with `rest` also of `bound` (their k-th distance so far), sorted by cell and packed by the segments to visit.
         A query's own segments are those with the least upper bounds that together have k rows."""
         pivots, k = self.pivots, self.k
         s = {c: self.segments[c].to_numpy() for c in self.segments}
@@ -149,8 +162,8 @@ class NeighboursModel:
 
         def pack(batches):
             for batch in batches:
-                for low in range(0, batch.num_rows, 2048):
-                    part = batch.slice(low, 2048)
+                for low in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(low, BATCH)
                     x = _matrix(part.column("x"))
                     own = squared(x, pivots)
                     nearest = own.argmin(1)
@@ -179,14 +192,17 @@ class NeighboursModel:
                     if out:
                         yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_VISIT.names), schema=_VISIT)
 
-        return self._clustered(queries).mapInArrow(pack, "cell int, part int, a binary, b binary, q binary, d binary, bound binary")
+        n = tasks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return queries.repartitionByRange(n, "own", "a").sortWithinPartitions("own").mapInArrow(pack, "cell int, part int, a binary, b binary, q binary, d binary, bound binary")
 
-    def _nearest(self, visits: DataFrame) -> DataFrame:
-        """a, b, lane, d, y, times: of each block, for each query that visits it, the rows that may be among its k nearest."""
+    def _nearest(self, visits: DataFrame, count: bool = False) -> DataFrame:
+        """a, b, lane, d, y, times: of each block, for each query that visits it, the rows that may be among its k nearest.
+        With `count` also rows of no query, with how many pairs were compared."""
         k = self.k
 
         def search(batches):
             for batch in batches:
+                pairs = 0
                 for row in batch.to_pylist():
                     x, q, a, b, limit, may = _visit(row)
                     y, times = np.frombuffer(row["y"]), np.frombuffer(row["times"], np.int64)
@@ -196,6 +212,7 @@ class NeighboursModel:
                     for low in range(0, len(may), step):
                         at = may[low : low + step]
                         far = squared(q[at], x)
+                        pairs += far.size
                         top = np.minimum(np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(x) else np.inf, limit[at] ** 2)
                         i, j = np.nonzero(far <= (top + 1e-12 * (1 + (q[at] ** 2).sum(1) + longest))[:, None])
                         d = ((q[at[i]] - x[j]) ** 2).sum(1)
@@ -204,42 +221,37 @@ class NeighboursModel:
                         kept = np.arange(len(i)) - np.searchsorted(i, i) < k
                         i, j, d = at[i[kept]], j[kept], d[kept]
                         if len(i):
-                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[i], b[i], np.full(len(i), lane, np.int32), d, y[j], times[j])], names=["a", "b", "lane", "d", "y", "times"])
-
-        return visits.join(self.blocks, ["cell", "part"]).mapInArrow(search, "a long, b long, lane int, d double, y double, times long")
-
-    def _compared(self, visits: DataFrame) -> DataFrame:
-        """One row for each visit of a block: with how many rows its queries are compared together."""
-
-        def count(batches):
-            for batch in batches:
-                sizes = [row["rows"] * len(_visit(row)[-1]) for row in batch.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["compared"])
+                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[i], b[i], np.full(len(i), lane, np.int32), d, y[j], times[j], np.zeros(len(i), np.int64))], schema=_FOUND)
+                if count:
+                    yield pa.RecordBatch.from_pylist([{"lane": 0, "compared": pairs}], schema=_FOUND)
 
-        return visits.join(self.blocks, ["cell", "part"]).mapInArrow(count, "compared long")
+        return visits.join(self.blocks, ["cell", "part"]).mapInArrow(search, "a long, b long, lane int, d double, y double, times long, compared long")
 
     def _merged(self, found: DataFrame) -> DataFrame:
-        """a, b, best (of struct d, y, times; in order, at most k)."""
-        short = F.slice(F.array_sort(F.collect_list(F.struct("d", "y", "times"))), 1, self.k)
-        lanes = found.groupBy("a", "b", "lane").agg(short.alias("best"))
+        """a, b, best (of struct d, y, times; in order, at most k) and compared; best is empty for the rows of no query."""
+        compared = F.sum("compared").alias("compared")
+        short = F.slice(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("d", "y", "times")))), 1, self.k)
+        lanes = found.groupBy("a", "b", "lane").agg(short.alias("best"), compared)
         whole = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, self.k)
-        return lanes.groupBy("a", "b").agg(whole.alias("best"))
+        return lanes.groupBy("a", "b").agg(whole.alias("best"), compared)
 
-    def _searched(self, df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """For each distinct query: a, b (two hashes of its features) and best; and all visits, in two tables."""
+    def _queries(self, df: DataFrame) -> DataFrame:
+        """The distinct queries: a, b (two hashes of their features) and x."""
         x = vector_to_array(FEATURES)
-        queries = df.select(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.alias("x")).dropDuplicates(["a", "b"])
-        visits = [self._visits(queries, rest=False)]
-        first = self._merged(self._nearest(visits[0]))
+        return df.select(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.alias("x")).dropDuplicates(["a", "b"])
+
+    def _bounded(self, queries: DataFrame, first: DataFrame) -> DataFrame:
+        """Queries that the first round has found, with `bound`, the distance of the k-th row it found."""
         total = F.aggregate("best", F.lit(0).cast("long"), lambda n, v: n + v["times"])
-        known = first.select("a", "b", F.when(total >= self.k, self._kth()).otherwise(F.lit(float("inf"))).alias("bound"))
-        visits.append(self._visits(queries.join(known, ["a", "b"]), rest=True))
-        parts = first.unionByName(self._merged(self._nearest(visits[1])))
-        whole = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, self.k)
-        return parts.groupBy("a", "b").agg(whole.alias("best")), visits
+        return queries.join(first.select("a", "b", F.when(total >= self.k, self._kth()).otherwise(F.lit(float("inf"))).alias("bound")), ["a", "b"])
 
     def search(self, df: DataFrame) -> DataFrame:
-        return self._searched(df)[0]
+        """For each distinct query: a, b (two hashes of its features) and best."""
+        queries = self._placed(self._queries(df))
+        first = self._merged(self._nearest(self._visits(queries, rest=False)))
+        rest = self._merged(self._nearest(self._visits(self._bounded(queries, first), rest=True)))
+        whole = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, self.k)
+        return first.unionByName(rest).groupBy("a", "b").agg(whole.alias("best"))
 
     def _kth(self):
         """The distance at which `best` has k rows, repeats counted."""
@@ -258,12 +270,29 @@ class NeighboursModel:
         return keyed.join(found, (F.col("_a") == found["a"]) & (F.col("_b") == found["b"])).drop("_a", "_b", "a", "b")
 
     def work(self, df: DataFrame) -> DataFrame:
-        """One row: queries, train_rows, pairs (of distinct ones) and how many of these were compared."""
+        """One row: queries, train_rows, pairs (of distinct ones) and how many of these were compared, by a search
+        whose steps run once: what is read again is kept until it ends."""
         n = int(self.segments["rows"].sum())
-        found, visits = self._searched(df)
-        compared = self._compared(visits[0]).unionByName(self._compared(visits[1])).agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
-        both = found.agg(F.count("*").alias("queries")).withColumn("_one", F.lit(1)).join(compared.withColumn("_one", F.lit(1)), "_one")
-        return both.select("queries", F.lit(n).cast("long").alias("train_rows"), (F.col("queries") * n).alias("pairs"), "compared")
+        kept: list[DataFrame] = []
+
+        def keep(frame: DataFrame) -> DataFrame:
+            kept.append(frame.persist(StorageLevel.DISK_ONLY))
+            return kept[-1]
+
+        try:
+            distinct = keep(self._queries(df))
+            tasks = _tasks(df, distinct.count(), BATCH // 2)
+            queries = keep(self._placed(distinct.coalesce(tasks)))
+            first = keep(self._merged(self._nearest(self._visits(queries, False, tasks), count=True)).coalesce(tasks))
+            rest = self._nearest(self._visits(self._bounded(queries, first), True, tasks), count=True)
+            # the first round has found all queries that the second one looks for
+            counts = first.select("compared", F.col("a").isNotNull().alias("query")).unionByName(rest.select("compared", F.lit(False).alias("query")))
+            count, compared = counts.agg(F.count_if("query"), F.coalesce(F.sum("compared"), F.lit(0))).first()
+        finally:
+            for frame in kept:
+                frame.unpersist()
+        figures = {"queries": count, "train_rows": n, "pairs": count * n, "compared": compared}
+        return df.sparkSession.range(0, 1, 1, 1).select(*(F.lit(v).cast("long").alias(c) for c, v in figures.items()))
 
 
 def _own_segments(far: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,4 +320,5 @@ def _visit(row: dict) -> tuple[np.ndarray, ...]:
     return x, np.frombuffer(row["q"]).reshape(len(a), -1), a, b, limit, may
 
 
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lane", pa.int32()), ("d", pa.float64()), ("y", pa.float64()), ("times", pa.int64()), ("compared", pa.int64())])
 _VISIT = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("q", pa.binary()), ("d", pa.binary()), ("bound", pa.binary())])

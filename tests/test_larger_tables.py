@@ -33,6 +33,47 @@ def test_more_rows_make_more_and_not_larger_cells(spark, monkeypatch):
     assert work.queries == len(q) and work.compared < work.pairs / 10
 
 
+def test_work_places_each_row_and_compares_each_pair_once(spark, monkeypatch):
+    placed, compared = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    cells, visit = neighbours._cells, neighbours._visit
+
+    def counted_cells(x, pivots):
+        placed.add(len(x))
+        return cells(x, pivots)
+
+    def counted_visit(row):
+        found = visit(row)
+        compared.add(row["rows"] * len(found[-1]))
+        return found
+
+    monkeypatch.setattr(neighbours, "_cells", counted_cells)
+    monkeypatch.setattr(neighbours, "_visit", counted_visit)
+    rng = np.random.default_rng(4)
+    x = np.unique(np.round(rng.uniform(size=(600, 2)) * 50, 2), axis=0)
+    q = np.concatenate([x[::20] + 0.01, x[:2] + 0.01])
+    fitted = models.Neighbours(3, 64, 16).fit(table(spark, x, x[:, 0]).repartition(5))
+    work = fitted.work(spark.createDataFrame([(Vectors.dense(a.tolist()),) for a in q], ["features"])).first()
+    queries = len(np.unique(q, axis=0))
+    assert (work.queries, work.train_rows, work.pairs) == (queries, len(x), queries * len(x))
+    assert placed.value == len(x) + queries
+    assert compared.value == work.compared < work.pairs / 2
+    fitted.release()
+
+
+@pytest.mark.parametrize("n", [2, 300])
+def test_work_on_odd_queries(spark, n):
+    nan, inf = float("nan"), float("inf")
+    x = np.arange(2.0 * n).reshape(n, 2)
+    fitted = models.Neighbours(3, 32, 8).fit(table(spark, np.concatenate([x, x]), np.concatenate([x[:, 0], x[:, 0]])))
+    df = spark.createDataFrame([(Vectors.dense(a),) for a in ([1.0, 2.0], [1.0, 2.0], [nan, 1.0], [nan, nan], [inf, 0.0])], ["features"])
+    some = fitted.work(df.limit(2)).first()
+    assert (some.queries, some.train_rows, some.pairs) == (1, n, n) and 0 < some.compared <= n
+    whole = fitted.work(df).first()  # a query of unknown features has no neighbours
+    assert (whole.queries, whole.train_rows, whole.compared) == (2, n, n + some.compared)
+    assert tuple(fitted.work(df.limit(0)).first()) == (0, n, 0, 0)
+    fitted.release()
+
+
 def test_medians_of_many_rows_sort_only_the_middle(spark, monkeypatch):
     monkeypatch.setattr(features, "AGGREGATE_MEDIAN_ROWS", 0)
     sorted_rows = []
