@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.operators.ordering import at_most, order_rows, place_among
+from lathe.operators.ordering import at_most, order_rows, place_among, row_by_prefix
 from lathe.options import FOLD_SEED
 
 SPLIT, FOLD = "split", "fold"
+#: Prefixes that three digits of a hash make, and how far from its expected part of them a bound is looked for first.
+PREFIXES, NEAR = 16**3, 1 / 64
 
 
 def shuffled(key: list[str], seed: int) -> list[Column]:
@@ -26,10 +28,10 @@ def shuffled(key: list[str], seed: int) -> list[Column]:
 
 def random_split(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """df with `split`: "test" for exactly ceil(n * test_size) rows, else "train"."""
-    n = df.count()
-    n_test = min(n, math.ceil(round(n * test_size, 9)))
     order = shuffled(key, seed)
-    bound = order_rows(df, order, [n_test - 1]).get(n_test - 1)
+    # The hash at the last test row is about this part of all hashes.
+    low, high = (min(max(int((test_size + gap) * PREFIXES), 0), PREFIXES - 1) for gap in (-NEAR, NEAR))
+    bound = row_by_prefix(df, order, lambda n: min(n, math.ceil(round(n * test_size, 9))) - 1, f"{low:03x}", f"{high:03x}")
     return df.withColumn(SPLIT, F.when(at_most(order, bound), "test").otherwise("train") if bound else F.lit("train"))
 
 
